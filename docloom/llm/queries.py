@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, quality
+from . import castore, matroska, quality
 from .common import label_bucket, table
 
 
@@ -22,8 +22,13 @@ def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(matroska.media_column(table(spark, sf_dir, "documents")))
 
 
+def op7_castore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in the content-addressed store, read back from its files."""
+    return castore.stored(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op5_matroska)}
+    return {f.__name__: f for f in (op2_quality, op5_matroska, op7_castore)}
 
 
 def oracle_sql() -> dict[str, str]:
