@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import castore, matroska, quality
+from . import castore, matroska, mixing, quality
 from .common import label_bucket, table
 
 
@@ -27,8 +27,13 @@ def op7_castore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return castore.stored(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op5_matroska, op7_castore)}
+    return {f.__name__: f for f in (op2_quality, op5_matroska, op7_castore, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
