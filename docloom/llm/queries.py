@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import castore, matroska, mixing, quality
+from . import castore, decontam, matroska, mixing, probmin, quality
 from .common import label_bucket, table
 
 
@@ -27,14 +27,42 @@ def op7_castore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return castore.stored(table(spark, sf_dir, "documents"))
 
 
+def op8_probmin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near duplicates."""
+    return probmin.classes(table(spark, sf_dir, "documents"))
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it contains."""
+    return decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = r"""
+WITH grams AS (
+  SELECT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram
+  FROM (
+    SELECT kind, id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark)
+  )
+), sets AS (SELECT DISTINCT kind, id, gram FROM grams),
+sizes AS (SELECT id AS item_id, CAST(count(*) AS INTEGER) AS shingles FROM sets WHERE kind = 'b' GROUP BY id),
+pairs AS (
+  SELECT d.id AS doc_id, b.id AS item_id, CAST(count(*) AS INTEGER) AS shared
+  FROM sets b JOIN sets d ON d.gram = b.gram AND d.kind = 'd' WHERE b.kind = 'b' GROUP BY 1, 2
+)
+SELECT doc_id, item_id, shared, shingles, shared / shingles AS containment
+FROM pairs JOIN sizes USING (item_id) WHERE shared >= 0.8 * shingles
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op5_matroska, op7_castore, op10_mixing)}
+    return {f.__name__: f for f in (op2_quality, op5_matroska, op7_castore, op8_probmin, op9_decontam, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontam": OP9_SQL}
