@@ -1,7 +1,9 @@
-"""Connected components of links, by DataFrame operations: least neighbours and pointer jumps."""
+"""Links within buckets and connected components of links, by DataFrame operations."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +32,34 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             remove(edges)
             return labels
     raise RuntimeError(f"components are not done after {rounds} rounds")
+
+
+def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """(a, b) of verified links among ``members`` (bucket, node), distinct rows; ``verify`` turns (a, b) into (a, b, near).
+
+    A bucket's members are compared with its pivots only: two at first, twice as many in each further round among the
+    members that no pivot has linked. A bucket costs its members times its distinct kinds, whatever its size.
+    """
+    active = materialize(in_shared_buckets(members), "active")
+    slots, tested, found = 2, None, None
+    while active.limit(1).count():
+        pivots = active.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.min("node").alias("pivot")).drop("slot")
+        met = active.join(pivots, "bucket").where("node <> pivot")
+        pairs = met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        new = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        result = materialize(verify(new), "verified")
+        tested = result if tested is None else tested.unionByName(result)
+        good = result.where("near").select("a", "b")
+        found = good if found is None else found.unionByName(good)
+        # on go those that are no pivot and that no pivot of their bucket has linked
+        linked = met.join(found.select(F.col("a").alias("node"), F.col("b").alias("pivot")), ["node", "pivot"]).select("bucket", "node")
+        rest = active.join(pivots.select("bucket", F.col("pivot").alias("node")).unionByName(linked).distinct(), ["bucket", "node"], "left_anti")
+        active = materialize(in_shared_buckets(rest), "active")
+        slots *= 2
+    return found
+
+
+def in_shared_buckets(members: DataFrame) -> DataFrame:
+    """The members of buckets that have two nodes at least."""
+    several = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    return members.join(several, "bucket")
