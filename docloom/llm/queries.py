@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import castore, decontam, matroska, mixing, probmin, quality
+from . import castore, decontam, lines, matroska, mixing, probmin, quality
 from .common import label_bucket, table
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each document stay, and the places of those that go."""
+    found = lines.removed_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", (F.col("n_lines") - F.size("removed")).alias("n_kept"), "removed")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; labels of held-out rows are never seen."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -61,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op5_matroska, op7_castore, op8_probmin, op9_decontam, op10_mixing)}
+    return {f.__name__: f for f in (op1_lines, op2_quality, op5_matroska, op7_castore, op8_probmin, op9_decontam, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
