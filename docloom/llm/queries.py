@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import castore, decontam, lines, matroska, mixing, probmin, quality
+from . import castore, counts, decontam, html, lines, matroska, mixing, pii, probmin, quality
 from .common import label_bucket, table
 
 
@@ -23,11 +23,26 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (label_bucket("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with format-preserving pseudonyms for its personal data."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a Matroska file, read back: sizes, hashes and features."""
     return matroska.digest(matroska.media_column(table(spark, sf_dir, "documents")))
 
 
+def op6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after a few edits."""
+    return counts.count_edits(table(spark, sf_dir, "documents"), counts.sample_edits)
+
+
 def op7_castore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in the content-addressed store, read back from its files."""
     return castore.stored(table(spark, sf_dir, "documents"))
@@ -67,7 +82,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lines, op2_quality, op5_matroska, op7_castore, op8_probmin, op9_decontam, op10_mixing)}
+    return {f.__name__: f for f in (op1_lines, op2_quality, op3_html, op4_pii, op5_matroska, op6_counts, op7_castore, op8_probmin, op9_decontam, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
