@@ -116,12 +116,13 @@ def tilts(histogram: DataFrame, goals: DataFrame, sources: int, config: Config =
     return state.select("source", F.when(~F.col("full"), F.col("tilt")).alias("tilt"), "scale")
 
 
-def mix(docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, size, source_size, target, rate, copies, taken) of every document."""
+def mix(docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
+    """(key, size, source_size, target, rate, copies, taken) of every document; with ``carry`` also its own columns, as a struct ``row``."""
     spark = docs.sparkSession
     shared_dir(spark)
-    # texts are read once: from here on a row is a few numbers
-    sized = materialize(docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("content")), "sizes")
+    own = [F.struct(*docs.columns).alias("row")] if carry else []
+    # texts are read once: from here on a row is a few numbers, unless rows are carried
+    sized = materialize(docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("content"), *own), "sizes")
     histogram = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("docs")), "histogram")
     per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.sum("docs").alias("docs"))
     goals = targets(per_source, config).coalesce(1).checkpoint()
@@ -147,4 +148,10 @@ def mix(docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: s
     moved = rounded.withColumn("room", movable).withColumn("reach", F.sum("room").over(up.rowsBetween(Window.unboundedPreceding, 0)))
     copies = F.col("copies") + F.when((F.col("room") > 0) & (F.col("reach") <= F.abs(F.col("owed"))), F.signum(F.col("owed")).cast("long")).otherwise(F.lit(0))
     out = moved.withColumn("copies", copies.cast("long"))
-    return out.select(F.col("id").alias(key), "size", "source_size", "target", (F.col("units") / MICRO).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(key), "size", "source_size", "target", (F.col("units") / MICRO).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if carry else []))
+
+
+def mixed(docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: every document's own columns, as often as the mix takes it."""
+    rows = mix(docs, config, key, text, source, carry=True).where("copies > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
