@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,14 +159,15 @@ def search(docs: DataFrame, items: DataFrame, config: Config = Config(), key: st
 
 def clean(docs: DataFrame, items: DataFrame, config: Config = Config(), text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that contain no item, with their own columns."""
-    import pandas as pd
-
     for block in _blocks(items, config, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block, config))
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, config))  # of at most block_bytes of text
+        docs = docs.where(~_holds(shared)(F.col(text)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def holds(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([bool(found) for found in shared.value.search(list(texts))])
 
-        docs = docs.where(~holds(F.col(text)))
-    return docs
+def _holds(shared):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(found) for found in shared.value.search(list(texts))])
+
+    return holds

@@ -20,6 +20,7 @@ from functools import lru_cache
 from hashlib import blake2b
 from math import isqrt, prod
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -293,8 +294,6 @@ def pseudonymise(docs: DataFrame, secret: bytes = DEFAULT_KEY, key: str = "doc_i
 
 def pseudonymised(secret: bytes = DEFAULT_KEY) -> Callable[[Column], Column]:
     """A column function that gives texts with pseudonyms."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def changed(texts: pd.Series) -> pd.Series:
         cipher = Cipher(secret)

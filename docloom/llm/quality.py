@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,8 +131,6 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config(), key: st
     known = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).groupBy(key).agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
     def learn(frames) -> Iterator:
-        import pandas as pd
-
         got = pd.concat(list(frames), ignore_index=True)
         got = got.sort_values(key, kind="stable")
         yield pd.DataFrame({"weights": [fit(list(got["text"]), list(got["y"]), config).tobytes()]})
@@ -160,9 +159,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, config: Config = Config(), key
     bits, threshold = config.bits, config.threshold
 
     @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
+    def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(score_texts(list(texts), shared.value, bits))
 
     return docs.where(scored(F.col(text)) >= F.lit(threshold))
