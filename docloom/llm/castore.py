@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_schema, map_rows, shared_path, slices
-from .tokens import encoder, vocabulary
+from .tokens import SLICE_CHARS, encoder, vocabulary
 
 KEY_BYTES = 16
 
@@ -153,7 +153,7 @@ def write(docs: DataFrame, path: str, config: Config = Config(), key: str = "doc
         task, row, seen = TaskContext.get().partitionId(), 0, set()
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE_CHARS):
                 out: list[tuple] = []
                 for doc, ids in zip(ids_of[lo:hi], codes.encode(texts[lo:hi]), strict=True):
                     ids = np.concatenate([ids, end])

@@ -12,13 +12,19 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The pattern of vocabularies that the short way is right for (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that the library might compose, drop, or lower-case by context; and special tokens.
-UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\xa1-į]|<\|")
-#: A full stop or comma that ends a run of marks, and so is not apart from what stands before it.
-RUN = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+UNUSUAL = r"[^\t-\r\x20-\x7e\x{a1}-\x{12f}]|<\|"
+#: A lone full stop or comma after a letter or digit: always a token of its own.
+ENDED = r"([a-z0-9\x{df}-\x{f6}\x{f8}-\x{12f}])([.,])([\t-\r ])"
+#: What pieces an ASCII word without an apostrophe has.
+PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Characters of text that one call takes well.
+SLICE_CHARS = 4_000_000
 
 
 class Encoder:
@@ -51,43 +57,62 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type)
 
+    def _letters(self, words: list[str]) -> None:
+        got, kind = self.letters.encode(words, is_pretokenized=True, add_special_tokens=False), self.type
+        ids, at = np.array(got.ids, kind), np.array(got.word_ids, np.int64)
+        cuts = (np.searchsorted(at, np.arange(len(words) + 1)) * kind.itemsize).tolist()
+        data = ids.tobytes()
+        self.known.update(zip(words, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+
+    def _whole(self, words: list[str]) -> None:
+        for w, got in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(got.ids, self.type).tobytes()
+
     def _learn(self, words: list[str]) -> None:
-        known, kind = self.known, self.type
-        plain, rest = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
-        if plain:
-            got = self.letters.encode(plain, is_pretokenized=True, add_special_tokens=False)
-            ids, at = np.array(got.ids, kind), np.array(got.word_ids, np.int64)
-            cuts = (np.searchsorted(at, np.arange(len(plain) + 1)) * kind.itemsize).tolist()
-            data = ids.tobytes()
-            known.update(zip(plain, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-        for w, got in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[w] = np.array(got.ids, kind).tobytes()
+        known = self.known
+        if plain := [w for w in words if w.isalpha()]:
+            self._letters(plain)
+        whole, pieces = [], []
+        for w in words:
+            if not w.isalpha():
+                if w.isascii() and "'" not in w:
+                    pieces.append((w, PIECES.findall(w)))
+                else:
+                    whole.append(w)
+        parts = {p for _, found in pieces for p in found if p not in known}
+        if letters := [p for p in parts if p.isalpha()]:
+            self._letters(letters)
+        self._whole(whole + [p for p in parts if not p.isalpha()])
+        for w, found in pieces:
+            known[w] = b"".join([known[p] for p in found])
 
     def encode(self, texts: list) -> list[np.ndarray]:
         """The ids of each text; null is an empty text."""
+        if not self.by_word:
+            return [self.whole(t or "") for t in texts]
+        array = pa.array([t or "" for t in texts], pa.large_string())
+        odd = pc.match_substring_regex(array, UNUSUAL).to_numpy(zero_copy_only=False)
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(array.filter(pa.array(~odd))), ENDED, r"\1 \2\3"))
+        found = lists.flatten().dictionary_encode()
+        at, words = found.indices.to_numpy(), found.dictionary.to_pylist()
+        if len(self.known) > self.WORDS:
+            self.known.clear()
+        known = self.known
+        if new := [w for w in words if w not in known]:
+            self._learn(new)
+        values = [known[w] for w in words]
+        width = self.type.itemsize
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // width
+        begins, counts = np.cumsum(lengths) - lengths, lengths[at]
+        ends = np.cumsum(counts)
+        source = np.repeat(begins[at] - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        ids = np.frombuffer(b"".join(values), self.type)[source]
+        bounds = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         out: list = [None] * len(texts)
-        split = []
-        for i, text in enumerate(texts):
-            text = text or ""
-            if not self.by_word or UNUSUAL.search(text):
-                out[i] = self.whole(text)
-            else:
-                text = text.lower()
-                if not RUN.search(text):  # a mark after a letter is a token of its own
-                    text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
-                split.append((i, text.split()))
-        if split:
-            if len(self.known) > self.WORDS:
-                self.known.clear()
-            new: set[str] = set()
-            for _, words in split:
-                new.update(words)
-            new_words = [w for w in new if w not in self.known]
-            if new_words:
-                self._learn(new_words)
-            get = self.known.__getitem__
-            for i, words in split:
-                out[i] = np.frombuffer(b"".join(map(get, words)), self.type)
+        for i, a, b in zip(np.flatnonzero(~odd).tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i] = ids[a:b]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.whole(texts[i])
         return out
 
 
