@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import queries_agent, queries_eval, queries_index, queries_search, queries_text  # noqa: F401  they register themselves
+from .registry import QUERIES, SQL
+
 FLAGSHIP = "e10_metrics"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
