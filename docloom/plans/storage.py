@@ -1,0 +1,27 @@
+"""Intermediate tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a local folder only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = current.get() if current.isDefined() else None
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="docloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Writes the table and reads it back, so that its lineage ends and lost executors cost no recomputation of all before."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/docloom-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
