@@ -131,8 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config(), key: st
     known = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).groupBy(key).agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
     def learn(frames) -> Iterator:
-        got = pd.concat(list(frames), ignore_index=True)
-        got = got.sort_values(key, kind="stable")
+        got = [frame for frame in frames if len(frame)]
+        if not got:
+            return
+        got = pd.concat(got, ignore_index=True).sort_values(key, kind="stable")
         yield pd.DataFrame({"weights": [fit(list(got["text"]), list(got["y"]), config).tobytes()]})
 
     found = known.coalesce(1).mapInPandas(learn, "weights binary").collect() if chosen.limit(1).count() else []
