@@ -66,7 +66,7 @@ def run(questions: DataFrame, search: Callable[[DataFrame], DataFrame], config:
         verdict = gates.relevance(asked_all, bank).select("query_id", "is_relevant", "reason", "overlap")
         shares = bank.where("rank <= 3").join(asked_all, "query_id").groupBy("query_id").agg(F.max(gates.has_shared_token(F.col("question"), F.col("text"))).alias("token"))
 
-        rows = state
+        rows = state.drop("completeness", "top1")
         for part in (sums, first, lexical, verdict, shares):
             rows = rows.join(part, "query_id", "left")
         rows = rows.fillna({"n_hops": 0, "comp": 0.0, "missing_hop": False, "top1": 0.0, "lexical": 0.0, "is_relevant": False, "token": False})

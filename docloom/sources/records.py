@@ -32,7 +32,7 @@ def write_feedback(rows: DataFrame, path: str) -> None:
 
 
 def read_feedback(spark: SparkSession, path: str, schema: str = FEEDBACK) -> DataFrame:
-    return spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    return spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def read_golden(spark: SparkSession, path: str, category: str | None = None, difficulty: str | None = None, schema: str = GOLDEN) -> DataFrame:
