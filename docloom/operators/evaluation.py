@@ -207,3 +207,9 @@ def daily_stats(log: DataFrame, last: int = 100) -> DataFrame:
 
 def latency(log: DataFrame) -> DataFrame:
     return log.agg(F.round(F.avg("seconds"), 4).alias("avg"), F.round(F.percentile("seconds", F.lit(0.95)), 4).alias("p95"), F.round(F.max("seconds"), 4).alias("max"))
+
+
+def keyword_hit_rate(answer: Column, keywords: Column) -> Column:
+    """The share of expected keywords that an answer has, in any case of letters; 0 without keywords."""
+    found = F.filter(keywords, lambda k: F.contains(F.lower(answer), F.lower(k)))
+    return F.coalesce(F.try_divide(F.size(found).cast("double"), F.size(keywords)), F.lit(0.0))
