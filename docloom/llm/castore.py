@@ -294,19 +294,22 @@ def read_digests(spark: SparkSession, path: str, config: Config = Config()) -> D
     # a chunk that many documents share is a hot key here; the runtime splits such partitions
     parts = refs.join(sums, "key", "left").groupBy("part", "place").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "crc"))).alias("parts"))
     whole = recipes.select("part", "place", "doc_id", "start", F.col("n").alias("stated"), F.floor(F.length("data") / KEY_BYTES).alias("refs")).join(parts, ["part", "place"])
+    whole = whole.withColumn("sizes", F.transform("parts", lambda x: F.coalesce(x["n"], F.lit(-1)))).withColumn("crcs", F.transform("parts", lambda x: x["crc"])).drop("parts")
 
-    def join(docs, starts, stated, refs, parts) -> Iterator[tuple]:
-        if any(len(p) != r for p, r in zip(parts, refs, strict=True)) or any(x["n"] is None for p in parts for x in p):
+    def join(docs, starts, stated, refs, sizes, crcs) -> Iterator[tuple]:
+        if any(len(p) != r for p, r in zip(sizes, refs, strict=True)):
             raise ValueError("a chunk is missing")
-        sizes = np.array([x["n"] for p in parts for x in p], np.int64)
-        crcs = np.array([x["crc"] for p in parts for x in p], np.uint32)
+        sizes = np.array([n for found in sizes for n in found], np.int64)
+        if sizes.min(initial=0) < 0:
+            raise ValueError("a chunk is missing")
+        crcs = np.array([c for found in crcs for c in found], np.uint32)
         first = np.cumsum([0, *refs[:-1]])
         totals, crc = np.add.reduceat(sizes, first), joined_crc32(crcs, 4 * sizes, first)
         if totals.tolist() != list(stated):
             raise ValueError("a recipe's chunks don't have its number of ids")
         return zip(docs, starts, totals.tolist(), crc.tolist(), strict=True)
 
-    return map_rows(whole, ["doc_id", "start", "stated", "refs", "parts"], f"doc_id {kind}, start long, n_tokens long, ids_crc32 long", join)
+    return map_rows(whole, ["doc_id", "start", "stated", "refs", "sizes", "crcs"], f"doc_id {kind}, start long, n_tokens long, ids_crc32 long", join)
 
 
 def reconstruct(spark: SparkSession, path: str, config: Config = Config()) -> DataFrame:
