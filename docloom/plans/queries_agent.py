@@ -250,7 +250,7 @@ def ttl(spark, sf_dir):
 
 @query("l1_lru")
 def lru(spark, sf_dir):
-    log = table(spark, sf_dir, "events").select((F.col("user_id") % 16).cast("string").alias("cache"), F.col("ts").cast("double").alias("at"), F.col("user_id").cast("string").alias("key"))
+    log = table(spark, sf_dir, "events").select((F.col("user_id") % 16).cast("string").alias("cache"), F.col("ts").cast("timestamp").cast("double").alias("at"), F.col("user_id").cast("string").alias("key"))
     return caches.replay(log, 20, 86400.0)
 
 
