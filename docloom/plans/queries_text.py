@@ -89,7 +89,6 @@ def abstract(spark, sf_dir):
     return _pages(spark).select("id", X.abstract(F.col("text")).alias("abstract"))
 
 
-_SECTION_SQL = "'" + X.SECTION.replace("|(?i)", "|(?i:").rstrip(")") + "))'"
 
 
 @query(
