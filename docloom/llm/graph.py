@@ -34,30 +34,35 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components are not done after {rounds} rounds")
 
 
-def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame] | None, sieve: Callable[[str, str], Column] | None = None) -> DataFrame | None:
+def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame] | None, sieve: Callable[[str, str], Column] | None = None, slots: int = 4) -> DataFrame | None:
     """(a, b), a before b, of verified links among ``members``: distinct rows (bucket, node, rank, ...) of buckets with two nodes at least.
 
-    A bucket's members are compared with its pivots only: the greatest in rank of each of four slots at first, of eight times
+    A bucket's members are compared with its pivots only: the greatest in rank of each of ``slots`` parts at first, of eight times
     as many in each further round, among the members that no pivot has linked. A bucket costs its members times its distinct
     kinds, whatever its size. ``sieve`` is a condition on the other columns of a member ("m.") and a pivot ("p.")
-    that a link can't fail; ``verify`` turns (a, b) into (a, b, near); without it the sieve decides.
+    that a link can't fail; ``verify`` turns (a, b) into (a, b, near); without it the sieve decides, and b is the pivot.
     """
     others = [c for c in members.columns if c not in ("bucket", "node", "rank")]
-    active, slots, tested, found = members, 4, None, None
+    active, tested, found = members, None, None
     while active.limit(1).count():
         best = F.max(F.struct("rank", "node", *others)).alias("p")
         pivots = active.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(best).select("bucket", "p").alias("q")
         joined = active.alias("m").join(pivots, (F.col("m.bucket") == F.col("q.bucket")) & (F.col("m.node") != F.col("q.p.node")) & (sieve("m.", "q.p.") if sieve else F.lit(True)))
-        met = joined.select("m.bucket", "m.node", F.least("m.node", "q.p.node").alias("a"), F.greatest("m.node", "q.p.node").alias("b"))
+        met = joined.select("m.bucket", "m.node", F.col("q.p.node").alias("pivot"), F.least("m.node", "q.p.node").alias("a"), F.greatest("m.node", "q.p.node").alias("b"))
         met = materialize(met, "met")
         pairs = met.select("a", "b").distinct()
-        new = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        result = materialize(verify(new) if verify else new.withColumn("near", F.lit(True)), "verified")
-        tested = result if tested is None else tested.unionByName(result)
-        good = result.where("near").select("a", "b")
-        found = good if found is None else found.unionByName(good)
+        if verify:
+            new = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            result = materialize(verify(new), "verified")
+            tested = result if tested is None else tested.unionByName(result)
+            good = result.where("near").select("a", "b")
+            found = good if found is None else found.unionByName(good)
+            linked = met.join(found, ["a", "b"]).select("bucket", "node")
+        else:
+            pairs = met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+            found = pairs if found is None else found.unionByName(pairs)
+            linked = met.select("bucket", "node")
         # on go those that are no pivot and that no pivot of their bucket has linked
-        linked = met.join(found, ["a", "b"]).select("bucket", "node")
         settled = pivots.select("bucket", F.col("p.node").alias("node")).unionByName(linked)
         rest = active.join(settled, ["bucket", "node"], "left_anti")
         active = materialize(in_shared_buckets(rest), "active")
