@@ -1,6 +1,6 @@
 """Benchmark decontamination: containment search by size-partitioned MinHash, verified exactly.
 
-Items are partitioned by size: one with n shingles is of the class of the next power of two u. For each class,
+Items of up to eight shingles are looked up by each of them, exactly. Others are partitioned by size: one with n shingles is of the class of the next power of two u. For each class,
 documents are read as windows of 2 u shingles, u apart, so that a passage of up to u shingles lies within one
 window and its Jaccard similarity to it is bounded from below, however long the document is. Items and windows
 have a MinHash signature, banded one by one; a hit makes (document, item) a candidate, and the share of the item's
@@ -33,6 +33,7 @@ class Config:
     width: int = WIDTH
     containment: float = 0.8
     hashes: int = 40
+    #: Items of so many shingles at most are looked up by each shingle's hash; signatures begin above.
     smallest_class: int = 8
     #: Bytes of item text that one broadcast holds, about.
     block_bytes: int = 2_000_000
@@ -45,6 +46,7 @@ class Index:
         self.config = config
         self.items: list[tuple] = []  # (item id, exact shingles, sorted shingle hashes)
         self.short: dict[int, dict[bytes, list[int]]] = {}
+        self.few: dict[int, list[int]] = {}
         rng = np.random.default_rng(5)
         self.mul = rng.integers(1, 1 << 63, config.hashes, np.uint64) * np.uint64(2) + np.uint64(1)
         self.add = rng.integers(0, 1 << 63, config.hashes, np.uint64)
@@ -62,11 +64,16 @@ class Index:
             exact = {b" ".join(found[i : i + config.width]) for i in range(len(found) - config.width + 1)}
             h = np.unique(flat_shingles(*flat_words([found]), config.width)[0])
             self.items.append((item, exact, h))
+            if len(exact) <= config.smallest_class:
+                for value in h.tolist():
+                    self.few.setdefault(value, []).append(at)
+                continue
             size = config.smallest_class
             while size < len(exact):
                 size *= 2
             by_class.setdefault(size, []).append(at)
             signatures[at] = np.array([self._values(h, j).min() for j in range(config.hashes)], np.uint32)
+        self.few_hashes = np.array(sorted(self.few), np.uint64)
         #: class -> for every hash: a filter by low bits, and signature value -> items
         self.classes = {}
         for size, members in sorted(by_class.items()):
@@ -83,8 +90,12 @@ class Index:
         return ((h * self.mul[j] + self.add[j]) >> np.uint64(32)).astype(np.uint32)
 
     def _candidates(self, h: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) for which some window and the item share a signature value in some place."""
+        """(text, item) for which some window and the item share a signature value in some place, or that share a shingle of an item of few."""
         out: set[tuple[int, int]] = set()
+        if len(self.few):
+            hits = np.flatnonzero(np.isin(h, self.few_hashes))
+            for text, value in zip((np.searchsorted(starts, hits, "right") - 1).tolist(), h[hits].tolist(), strict=True):
+                out.update((text, at) for at in self.few[value])
         if not len(h) or not self.classes:
             return out
         size = min(self.classes)

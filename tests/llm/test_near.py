@@ -110,6 +110,16 @@ def test_containment_against_brute_force(make, spark):
     assert {(r.doc_id, r.item_id) for r in decontam.search(make(docs), table, small).collect()} == found
 
 
+def test_items_of_few_words_in_long_documents():
+    items = [(i, prose(2000 + i, 5 + i % 8)) for i in range(200)]
+    texts = [prose(i, 150 + i % 16) + " " + text + " " + prose(i + 400, 150) for i, (_, text) in enumerate(items)]
+    # the two shingles of an item of six words, apart from each other
+    words = [text.split() for _, text in items if len(text.split()) == 6]
+    texts += [" ".join(w[:5]) + " " + prose(i + 800, 100) + " " + " ".join(w[1:]) for i, w in enumerate(words)]
+    found = decontam.Index(items).search(texts)
+    assert {(t, i) for t, of in enumerate(found) for i, _, _ in of} == contained(list(enumerate(texts)), items)
+
+
 def test_no_items_and_no_documents(odd, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.search(odd, none).count() == 0 and decontam.clean(odd, none).count() == odd.count()
