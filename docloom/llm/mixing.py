@@ -126,15 +126,16 @@ def mix(docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: s
     histogram = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("docs")), "histogram")
     per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.sum("docs").alias("docs"))
     goals = targets(per_source, config).coalesce(1).checkpoint()
-    sources, total = goals.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    sources = goals.count()
     found = tilts(histogram, goals, sources, config)
-    groups = max(1, min(config.groups, total // config.group))
 
-    params = goals.select(F.col("source").alias("s"), "source_size", "target").join(few(found.withColumnRenamed("source", "s2"), sources), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
+    # a source's own number of documents decides how many groups it has: one rounds well only with many documents in it
+    groups = F.greatest(F.lit(1), F.least(F.lit(config.groups), F.floor(F.col("docs") / config.group))).cast("long")
+    params = goals.select(F.col("source").alias("s"), "source_size", "target", groups.alias("groups")).join(few(found.withColumnRenamed("source", "s2"), sources), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
     rated = sized.join(few(params, sources), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     cap = F.lit(config.cap * MICRO).cast("long")
     exact = F.when(F.col("tilt").isNull(), cap).otherwise(F.least(cap, F.round(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(700.0))) * MICRO).cast("long")))
-    dealt = rated.withColumn("units", F.when(F.col("size") > 0, exact).otherwise(F.lit(0).cast("long"))).withColumn("deal", F.pmod(F.xxhash64(F.col("id"), F.col("content"), F.lit(10)), F.lit(groups)))
+    dealt = rated.withColumn("units", F.when(F.col("size") > 0, exact).otherwise(F.lit(0).cast("long"))).withColumn("deal", F.pmod(F.xxhash64(F.col("id"), F.col("content"), F.lit(10)), F.col("groups")))
 
     group = Window.partitionBy("source", "deal")
     up = group.orderBy("size", F.xxhash64("id"), "id", "content")

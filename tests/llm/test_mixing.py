@@ -37,6 +37,13 @@ def test_targets_and_taken_words(make):
     assert sorted(map(tuple, mixing.mix(make(rows)).collect())) == sorted(map(tuple, out))
 
 
+def test_a_small_source_beside_a_large_one(make):
+    rows = [(i, prose(i, 5 + i * 7 % 200), "small" if i < 24 else "large") for i in range(700)]
+    out = mixing.mix(make(rows), mixing.Config(weights=(60.0, 1.0), share=1.2, group=16)).collect()
+    small = [r for r in out if r.doc_id < 24]
+    assert abs(sum(r.taken for r in small) - small[0].target) <= 0.02 * small[0].target
+
+
 def test_the_mix_repeats_rows(make):
     docs = make([(i, prose(i, 30), "a" if i % 4 else None) for i in range(60)])
     rates = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
