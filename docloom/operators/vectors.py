@@ -35,6 +35,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def sampled(vectors: DataFrame, n: int) -> DataFrame:
+    """(cell, embedding): at most n of the vectors as centres, chosen by a hash of their ids."""
+    return vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select(F.col("vec_id").alias("cell"), "embedding")
+
+
 def cells(vectors: DataFrame, centres: DataFrame) -> DataFrame:
     """Vectors with the id of their nearest centre: (vec_id, embedding, cell). Centres are few (nlist rows)."""
     near = vectors.join(F.broadcast(centres.select("cell", F.col("embedding").alias("centre"))))

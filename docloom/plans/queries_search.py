@@ -37,11 +37,11 @@ def search_filtered(spark, sf_dir):
 
 @query("v2_cells")
 def cells(spark, sf_dir):
-    """Approximate search over cells; the centres are a bounded sample of the vectors."""
+    """Approximate search over cells; the centres are a bounded sample of the vectors. These have no clusters, so recall@10 of 0.9 takes most of the cells."""
     rows = vectors(spark, sf_dir)
-    centres = rows.where("vec_id < 16").select(F.col("vec_id").alias("cell"), "embedding")
+    centres = V.sampled(rows, 16)
     celled = V.cells(rows.select("vec_id", "embedding"), centres)
-    return V.search_cells(celled, V.probe(_asked(spark, sf_dir), centres, 6), 10)
+    return V.search_cells(celled, V.probe(_asked(spark, sf_dir), centres, 14), 10)
 
 
 @query("v3_cosine", f"WITH {_SEARCH} SELECT query_id, round(avg(list_cosine_similarity(v.embedding, a.query)), 6) AS mean FROM vectors v, asked a WHERE vec_id <> query_id GROUP BY query_id")

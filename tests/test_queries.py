@@ -33,3 +33,12 @@ def test_entry_module_lists_the_same_names():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert catalog.FLAGSHIP in entry.queries()
+
+
+def test_recall_of_cells(spark):
+    from docloom.operators import vectors as V
+    from docloom.plans.tables import vectors
+
+    found, exact = ({(r.query_id, r.vec_id) for r in catalog.queries()[n](spark, SMALL).collect()} for n in ("v2_cells", "v1_search"))
+    assert len(found & exact) >= 0.9 * len(exact)
+    assert V.sampled(vectors(spark, SMALL).where("vec_id >= 16"), 16).count() == 16
