@@ -34,40 +34,54 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components are not done after {rounds} rounds")
 
 
-def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame] | None, sieve: Callable[[str, str], Column] | None = None, slots: int = 4) -> DataFrame | None:
-    """(a, b), a before b, of verified links among ``members``: distinct rows (bucket, node, rank, ...) of buckets with two nodes at least.
+def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sieve: Callable[[str, str], Column], slots: int = 4) -> DataFrame | None:
+    """(a, b), a before b, of verified links among ``members``: distinct rows (bucket, node, rank, ...).
 
-    A bucket's members are compared with its pivots only: the greatest in rank of each of ``slots`` parts at first, of eight times
-    as many in each further round, among the members that no pivot has linked. A bucket costs its members times its distinct
-    kinds, whatever its size. ``sieve`` is a condition on the other columns of a member ("m.") and a pivot ("p.")
-    that a link can't fail; ``verify`` turns (a, b) into (a, b, near); without it the sieve decides, and b is the pivot.
+    A bucket's members are compared with its pivots first: the greatest in rank of each of ``slots`` parts at first, of eight times
+    as many in each further round, among the members that no pivot has linked. What then shares a bucket without being of one
+    component is compared pair by pair (``bridges``), so the links connect all that the links of all pairs would.
+    ``sieve`` is a condition on the other columns of a member ("m.") and a pivot ("p.")
+    that a link can't fail; ``verify`` turns (a, b) into (a, b, near).
     """
     others = [c for c in members.columns if c not in ("bucket", "node", "rank")]
     active, tested, found = members, None, None
     while active.limit(1).count():
         best = F.max(F.struct("rank", "node", *others)).alias("p")
         pivots = active.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(best).select("bucket", "p").alias("q")
-        joined = active.alias("m").join(pivots, (F.col("m.bucket") == F.col("q.bucket")) & (F.col("m.node") != F.col("q.p.node")) & (sieve("m.", "q.p.") if sieve else F.lit(True)))
-        met = joined.select("m.bucket", "m.node", F.col("q.p.node").alias("pivot"), F.least("m.node", "q.p.node").alias("a"), F.greatest("m.node", "q.p.node").alias("b"))
-        met = materialize(met, "met")
+        joined = active.alias("m").join(pivots, (F.col("m.bucket") == F.col("q.bucket")) & (F.col("m.node") != F.col("q.p.node")) & sieve("m.", "q.p."))
+        met = materialize(joined.select("m.bucket", "m.node", *ordered("m.node", "q.p.node")), "met")
         pairs = met.select("a", "b").distinct()
-        if verify:
-            new = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            result = materialize(verify(new), "verified")
-            tested = result if tested is None else tested.unionByName(result)
-            good = result.where("near").select("a", "b")
-            found = good if found is None else found.unionByName(good)
-            linked = met.join(found, ["a", "b"]).select("bucket", "node")
-        else:
-            pairs = met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-            found = pairs if found is None else found.unionByName(pairs)
-            linked = met.select("bucket", "node")
+        new = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        result = materialize(verify(new), "verified")
+        tested = result if tested is None else tested.unionByName(result)
+        good = result.where("near").select("a", "b")
+        found = good if found is None else found.unionByName(good)
+        linked = met.join(found, ["a", "b"]).select("bucket", "node")
         # on go those that are no pivot and that no pivot of their bucket has linked
         settled = pivots.select("bucket", F.col("p.node").alias("node")).unionByName(linked)
         rest = active.join(settled, ["bucket", "node"], "left_anti")
         active = materialize(in_shared_buckets(rest), "active")
         slots *= 8
-    return found
+    return found if found is None else found.unionByName(bridges(members, found, tested, verify, sieve))
+
+
+def ordered(m: str, q: str) -> list[Column]:
+    return [F.least(m, q).alias("a"), F.greatest(m, q).alias("b")]
+
+
+def bridges(members: DataFrame, links: DataFrame, tested: DataFrame, verify: Callable[[DataFrame], DataFrame], sieve: Callable[[str, str], Column]) -> DataFrame:
+    """(a, b) of verified links between components: of all pairs that share a bucket, pass the sieve and are not tested yet.
+
+    In each bucket, members outside its largest component meet all of other components; those of the largest don't meet each other.
+    """
+    known = members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    kinds = known.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
+    largest = kinds.agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    apart = materialize(known.join(largest.select("bucket", F.col("top.label").alias("top")), "bucket"), "apart")
+    outside = apart.where(F.col("label") != F.col("top")).alias("m")
+    joined = outside.join(apart.alias("q"), (F.col("m.bucket") == F.col("q.bucket")) & (F.col("m.label") != F.col("q.label")) & sieve("m.", "q."))
+    pairs = joined.select(*ordered("m.node", "q.node")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return materialize(verify(pairs), "bridges").where("near").select("a", "b")
 
 
 def in_shared_buckets(members: DataFrame) -> DataFrame:

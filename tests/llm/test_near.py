@@ -1,9 +1,10 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 from words import edited, prose
 
-from docloom.llm import decontam, probmin
+from docloom.llm import decontam, graph, probmin
 
 
 def brute(rows, config=probmin.Config()):
@@ -44,6 +45,39 @@ def test_a_large_group_of_near_copies(make):
     assert found == brute(rows)
 
 
+def test_bridged_clusters_and_drifting_chains(make):
+    rows = []
+    for g in range(8):
+        # two clusters around texts that aren't near, joined by one pair only
+        a = prose(g + 300, 200).split()
+        b = a[:70] + prose(g + 600, 24).split() + a[94:]
+        c = b[:172] + prose(g + 700, 12).split() + b[184:]
+        rows += [(1000 * g + k, t) for k, t in enumerate([*(" ".join(x[:-1 - k]) for x in (a, b, c) for k in range(6))])]
+        text = prose(g + 800, 150)
+        for k in range(12):
+            rows.append((1000 * g + 500 + k, text))
+            text = edited(text, 2, seed=100 * g + k)
+    found = sorted(((r.doc_id, r.class_id) for r in probmin.classes(make(rows)).collect()), key=str)
+    # two texts that share no bucket stay apart: the model of all pairs that do
+    assert found == brute(rows)
+
+
+def test_star_links_connect_what_all_pairs_connect(spark):
+    import random
+
+    rng = random.Random(3)
+    near = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(45)}
+    members = [(b, n, rng.randrange(5), 0) for b in range(4) for n in range(60)]
+    table = spark.createDataFrame([(a, b, True) for a, b in sorted(near)], "a int, b int, near boolean")
+    verify = lambda pairs: pairs.join(table, ["a", "b"], "left").fillna(False)
+    links = graph.star_links(spark.createDataFrame(members, "bucket int, node int, rank int, k int"), verify, lambda m, q: F.col(f"{m}k") == F.col(f"{q}k"))
+    label = list(range(60))
+    for a, b in near:
+        label = [label[b] if x == label[a] else x for x in label]
+    found = {r.node: r.label for r in graph.components(links).collect()}
+    assert found == {n: label.index(label[n]) for n in range(60) if label.count(label[n]) > 1}
+
+
 def test_odd_rows(odd, make):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     found = sorted(((r.doc_id, r.class_id) for r in probmin.classes(odd).collect()), key=str)
