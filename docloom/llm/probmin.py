@@ -6,7 +6,8 @@ than every register's are never drawn (early termination). Two texts agree in a
 similarity of their weights (the probability is exact, ``probability_jaccard`` computes it), whatever their lengths. Registers are banded; texts of one bucket are compared with the bucket's
 pivots only, a few at first and more in each further round among those that no pivot has linked, so a bucket of any size
 costs its members times its distinct kinds; four bits of every register sieve the pairs within that join. What passes is
-verified exactly: Jaccard similarity of the shingle sets of at least the threshold. Classes are the connected components;
+verified exactly: Jaccard similarity of the shingle sets of at least the threshold. Pairs of that similarity whose repeat
+counts differ so much that the probability Jaccard similarity is well below it are lost to bands and sieve. Classes are the connected components;
 equal texts are one node from the start.
 
 Defined cases: null counts as empty text; texts without words are near nothing but equal texts; texts of one to four words
@@ -110,7 +111,7 @@ def sketches(texts: list, config: Config = Config()) -> tuple[np.ndarray, np.nda
 
 
 def alike(config: Config) -> Callable[[str, str], Column]:
-    """A condition on two sketches that texts of the similarity fail with a probability under one in 100,000."""
+    """A condition on two sketches that texts of the (probability Jaccard) similarity fail with a probability under one in 100,000."""
     p = config.similarity + (1 - config.similarity) / 16
     least = config.registers * p - 4.4 * (config.registers * p * (1 - p)) ** 0.5
 
