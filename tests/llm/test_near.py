@@ -145,7 +145,7 @@ def test_containment_against_brute_force(make, spark):
 
 
 def test_items_of_few_words_in_long_documents():
-    items = [(i, prose(2000 + i, 5 + i % 8)) for i in range(200)]
+    items = [(i, prose(2000 + i, 5 + i % 8 if i < 200 else 5)) for i in range(900)]
     texts = [prose(i, 150 + i % 16) + " " + text + " " + prose(i + 400, 150) for i, (_, text) in enumerate(items)]
     # the two shingles of an item of six words, apart from each other
     words = [text.split() for _, text in items if len(text.split()) == 6]
