@@ -59,12 +59,37 @@ def test_only_touched_segments_are_encoded(codes):
     assert doc.encoded < 2000 and len(doc.segments) == before
 
 
-def test_count_edits_of_odd_rows(odd, codes):
-    rows = counts.count_edits(odd, counts.sample_edits).collect()
-    assert len(rows) == odd.count()
-    for r in rows:
-        if r.doc_id in (1, 2):
-            assert (r.n_chars, r.n_tokens) == (0, 0)
+def test_the_tree_stays_balanced(codes):
+    def held(t):
+        if t and t[0]:
+            assert abs(t[3][0] - t[4][0]) <= 1 and t[:3] == (max(t[3][0], t[4][0]) + 1, t[3][1] + t[4][1], t[3][2] + t[4][2])
+            held(t[3])
+            held(t[4])
+
+    rng = random.Random(5)
+    doc = counts.Document(prose(1, 3000), codes, 16)
+    for _ in range(60):
+        a = rng.randrange(doc.chars + 1)
+        doc.edit(a, a + rng.choice([0, 30, 3000]), rng.choice(["", " ", prose(3, rng.randrange(400))]))
+        held(doc.root)
+
+
+def by_the_library(text, edits, codes):
+    """(characters, tokens) of the text before and after the edits, encoded whole."""
+    now = text
+    for start, end, new in edits:
+        start = max(0, min(start, len(now)))
+        now = now[:start] + new + now[max(start, min(end, len(now))) :]
+    return tuple(x for t in (text, now) for x in (len(t), len(codes.library.encode(t, add_special_tokens=False).ids)))
+
+
+def test_count_edits_of_odd_rows(odd, make, codes):
+    rows = [(r.doc_id, r.text) for r in odd.collect()] + [(i, t) for i, t in enumerate([*ODD, " \n ", "\n", prose(9, 500).replace("1 ", "\n")], 100)]
+    want = [(d, *by_the_library(t or "", counts.sample_edits(t or ""), codes)) for d, t in rows]
+    found = [(r.doc_id, r.n_chars, r.n_tokens, r.edited_chars, r.edited_tokens) for r in counts.count_edits(make(rows), counts.sample_edits).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    none = counts.count_edits(make(rows), lambda t: [])
+    assert all((r.n_chars, r.n_tokens, r.encoded_chars) == (r.edited_chars, r.edited_tokens, 0) for r in none.collect())
     assert counts.count_edits(odd.limit(0), counts.sample_edits).count() == 0
 
 
