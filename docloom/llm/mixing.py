@@ -6,7 +6,7 @@ lambda a source, the solution of a convex dual. Newton steps find the lambdas; e
 the table (source, size) -> documents, which is far smaller than the corpus, so that no source is too hot.
 Rates then become whole copies: documents are dealt by a hash of their id into groups of bounded size within
 their source, ordered by size, and a running sum of rates is rounded, so that every group meets its own share;
-what is still missing or too much goes to the group's smallest documents.
+what is still missing or too much goes to the group's smallest documents and to single ones or pairs whose sizes come nearest to the rest.
 
 Targets: sources in code-point order, null last, have the weights in turn; a source's target stops at ``cap``
 times its size and the rest is shared anew by weight until none is above.
@@ -39,9 +39,10 @@ class Config:
     cap: int = 2
     steps: int = 60
     tolerance: float = 1e-7
-    #: Documents that one rounding group holds, about, and groups of a source at most.
+    #: Documents that one rounding group of a source holds, about; a source has as many groups as that takes.
     group: int = 1024
-    groups: int = 4096
+    #: Single documents, or pairs, that a group moves at most, after the smallest ones, to come nearer to its share.
+    corrections: int = 2
 
 
 MICRO = 1_000_000
@@ -60,6 +61,7 @@ def word_count(text: Column) -> Column:
 def targets(sources: DataFrame, config: Config = Config()) -> DataFrame:
     """(source, source_size, docs, target) from (source, source_size, docs): a row a source.
 
+    The windows hold a row a source (a name and a few numbers) in one task: a million sources take some 100 MB.
     Filling up to the caps has a closed form: with sources in the order of cap room per weight, the full ones are a
     prefix; the level is what is left over the weights that are left, at the first source that is not full.
     """
@@ -130,7 +132,7 @@ def mix(docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: s
     found = tilts(histogram, goals, sources, config)
 
     # a source's own number of documents decides how many groups it has: one rounds well only with many documents in it
-    groups = F.greatest(F.lit(1), F.least(F.lit(config.groups), F.floor(F.col("docs") / config.group))).cast("long")
+    groups = F.greatest(F.lit(1), F.floor(F.col("docs") / config.group)).cast("long")
     params = goals.select(F.col("source").alias("s"), "source_size", "target", groups.alias("groups")).join(few(found.withColumnRenamed("source", "s2"), sources), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
     rated = sized.join(few(params, sources), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     cap = F.lit(config.cap * MICRO).cast("long")
@@ -144,14 +146,39 @@ def mix(docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: s
     start = F.pmod(F.xxhash64("source", "deal"), F.lit(MICRO))
     rounded = dealt.withColumn("sum", running + start).withColumn("copies", F.floor(F.col("sum") / MICRO) - F.floor((F.col("sum") - F.col("units")) / MICRO))
     rounded = rounded.withColumn("owed", F.expr("units * size div 1000")).withColumn("owed", F.round(F.sum("owed").over(group) / 1000).cast("long") - F.sum(F.col("copies") * F.col("size")).over(group))
-    # the smallest documents make up for what rounding has left over
+    # the smallest documents make up for what rounding has left over, then those whose size comes nearest to what is still left
     movable = F.when((F.col("size") > 0) & F.when(F.col("owed") > 0, F.col("copies") < config.cap).otherwise(F.col("copies") > 0), F.col("size")).otherwise(F.lit(0))
     moved = rounded.withColumn("room", movable).withColumn("reach", F.sum("room").over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    copies = F.col("copies") + F.when((F.col("room") > 0) & (F.col("reach") <= F.abs(F.col("owed"))), F.signum(F.col("owed")).cast("long")).otherwise(F.lit(0))
-    out = moved.withColumn("copies", copies.cast("long"))
+    step = F.when((F.col("room") > 0) & (F.col("reach") <= F.abs(F.col("owed"))), F.signum(F.col("owed")).cast("long")).otherwise(F.lit(0))
+    out = moved.withColumn("step", step).withColumn("copies", F.col("copies") + F.col("step")).withColumn("owed", F.col("owed") - F.sum(F.col("step") * F.col("size")).over(group))
+    out = out.withColumn("place", F.row_number().over(up))
+    for _ in range(config.corrections):
+        out = out.withColumn("best", F.min(F.least(*corrections(up, config.cap))).over(group))
+        better = F.col("best.left") < F.abs(F.col("owed"))
+        step = F.when(better & (F.col("best.place") == F.col("place")), F.col("best.step")).when(better & (F.col("best.other") == F.col("place")), -F.col("best.step"))
+        out = out.withColumn("step", F.coalesce(step, F.lit(0)))
+        out = out.withColumn("copies", F.col("copies") + F.col("step")).withColumn("owed", F.col("owed") - F.sum(F.col("step") * F.col("size")).over(group))
+    out = out.withColumn("copies", F.col("copies").cast("long"))
     return out.select(F.col("id").alias(key), "size", "source_size", "target", (F.col("units") / MICRO).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if carry else []))
 
 
+def corrections(up, cap: int) -> list[Column]:
+    """What a document can do for its group: a copy more, a copy less, or one against one of a document up to three places before.
+
+    (left, place, other, step): what would be left over, the document's place, the other's (-1: none), and what its copies change by.
+    """
+    place, size = F.col("place"), F.col("size")
+    more, less = (size > 0) & (F.col("copies") < cap), (size > 0) & (F.col("copies") > 0)
+    out = []
+    for step, can, other_can in ((1, more, less), (-1, less, more)):
+        left = F.col("owed") - step * size
+        out.append(F.when(can, F.struct(F.abs(left).alias("left"), place, F.lit(-1).alias("other"), F.lit(step).alias("step"))))
+        for k in (1, 2, 3):
+            both = can & F.lag(other_can, k).over(up)
+            out.append(F.when(both, F.struct(F.abs(left + step * F.lag(size, k).over(up)).alias("left"), place, (place - k).alias("other"), F.lit(step).alias("step"))))
+    return out
+
+
 def mixed(docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every document's own columns, as often as the mix takes it."""
     rows = mix(docs, config, key, text, source, carry=True).where("copies > 0")

@@ -1,3 +1,4 @@
+import random
 import re
 
 from words import prose
@@ -44,6 +45,50 @@ def test_a_small_source_beside_a_large_one(make):
     assert abs(sum(r.taken for r in small) - small[0].target) <= 0.02 * small[0].target
 
 
+def test_hundreds_of_small_sources(make):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randrange(5, 300), f"s{i % 300:03}") for i in range(300 * 40)]
+    out = mixing.mix(make(rows), mixing.Config(share=0.9)).collect()
+    by = {}
+    for r in out:
+        by.setdefault(int(r.doc_id) % 300, []).append(r)
+    for found in by.values():
+        assert abs(sum(r.taken for r in found) - found[0].target) <= 0.01 * found[0].target
+    misses = [abs(sum(r.taken for r in found) / found[0].target - 1) for found in by.values()]
+    assert sum(misses) / len(misses) < 0.001
+
+
+def test_several_groups_a_source(make):
+    rows = [(i, "w " * (1 + i * 7919 % 400), "ab"[i % 3 > 0]) for i in range(9000)]
+    out = mixing.mix(make(rows), mixing.Config(group=64)).collect()
+    for source in (0, 1):
+        found = [r for r in out if (r.doc_id % 3 > 0) == source]
+        assert abs(sum(r.taken for r in found) - found[0].target) <= 0.01 * found[0].target
+
+
+def test_rates_solve_the_dual(make):
+    """Against bisection of each source's own equation, written without Spark."""
+    import math
+
+    rows = [(i, "w " * (1 + i * 7919 % 400), f"s{i % 5}") for i in range(1500)]
+    config = mixing.Config()
+    found = mixing.mix(make(rows), config).collect()
+    for s in range(5):
+        own = [r for r in found if r.doc_id % 5 == s]
+        sizes, target = [r.size for r in own], own[0].target
+        scale = sum(sizes) / len(sizes)
+        if target >= config.cap * sum(sizes) * (1 - 1e-12):
+            assert all(r.rate == config.cap for r in own)
+            continue
+        low, high = -1e3, 1e3
+        for _ in range(200):
+            mid = (low + high) / 2
+            got = sum(n * min(config.cap, math.exp(min(700, mid * n / scale))) for n in sizes)
+            low, high = (mid, high) if got < target else (low, mid)
+        for r in own:
+            assert abs(r.rate - min(config.cap, math.exp(min(700, low * r.size / scale)))) < 1e-4
+
+
 def test_the_mix_repeats_rows(make):
     docs = make([(i, prose(i, 30), "a" if i % 4 else None) for i in range(60)])
     rates = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
