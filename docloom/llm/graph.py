@@ -44,7 +44,7 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sie
     that a link can't fail; ``verify`` turns (a, b) into (a, b, near).
     """
     others = [c for c in members.columns if c not in ("bucket", "node", "rank")]
-    active, tested, found = members, None, None
+    active, tested, found, held = members, None, None, []
     while active.limit(1).count():
         best = F.max(F.struct("rank", "node", *others)).alias("p")
         pivots = active.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(best).select("bucket", "p").alias("q")
@@ -61,8 +61,14 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sie
         settled = pivots.select("bucket", F.col("p.node").alias("node")).unionByName(linked)
         rest = active.join(settled, ["bucket", "node"], "left_anti")
         active = materialize(in_shared_buckets(rest), "active")
+        held += [met, result, active]
         slots *= 8
-    return found if found is None else found.unionByName(bridges(members, found, tested, verify, sieve))
+    if found is None:
+        return None
+    links = materialize(found.unionByName(bridges(members, found, tested, verify, sieve)), "links")
+    for df in held:
+        remove(df)
+    return links
 
 
 def ordered(m: str, q: str) -> list[Column]:
@@ -74,14 +80,18 @@ def bridges(members: DataFrame, links: DataFrame, tested: DataFrame, verify: Cal
 
     In each bucket, members outside its largest component meet all of other components; those of the largest don't meet each other.
     """
-    known = members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = components(links)
+    known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     kinds = known.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
     largest = kinds.agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
     apart = materialize(known.join(largest.select("bucket", F.col("top.label").alias("top")), "bucket"), "apart")
     outside = apart.where(F.col("label") != F.col("top")).alias("m")
     joined = outside.join(apart.alias("q"), (F.col("m.bucket") == F.col("q.bucket")) & (F.col("m.label") != F.col("q.label")) & sieve("m.", "q."))
     pairs = joined.select(*ordered("m.node", "q.node")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    return materialize(verify(pairs), "bridges").where("near").select("a", "b")
+    found = materialize(verify(pairs), "bridges")
+    remove(labels)
+    remove(apart)
+    return found.where("near").select("a", "b")
 
 
 def in_shared_buckets(members: DataFrame) -> DataFrame:
