@@ -21,7 +21,7 @@ from hashlib import blake2b
 from math import isqrt, prod
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows
@@ -127,9 +127,13 @@ class Cipher:
         return "".join(c if c == " " else next(new) for c in text)
 
     def phone(self, text: str) -> str:
-        digits = [i for i, c in enumerate(text) if c.isdigit()][-10:]
-        head, tail = text[: digits[0]], text[digits[0] :]
-        return head + self._classes("phone", tail, (DIGITS,), lambda t: good_nanp(re.sub(r"\D", "", t)))
+        at = [i for i, c in enumerate(text) if c.isdigit()][-10:]
+        # the ten digits alone, so that a number is linked however it is written
+        new = self._classes("phone", "".join(text[i] for i in at), (DIGITS,), good_nanp)
+        out = list(text)
+        for i, c in zip(at, new, strict=True):
+            out[i] = c
+        return "".join(out)
 
     def ssn(self, text: str) -> str:
         return self._classes("ssn", text, (DIGITS,), good_ssn)
@@ -154,7 +158,8 @@ class Cipher:
 
     def email(self, text: str) -> str:
         name, at, host = text.rpartition("@")
-        return self._classes("email", name, (LOWER, UPPER, DIGITS)) + at + host
+        site, dot, top = host.rpartition(".")
+        return self._classes("email", name, (LOWER, UPPER, DIGITS)) + at + self._classes("host", site, (LOWER, UPPER, DIGITS)) + dot + top
 
     def secret(self, text: str) -> str:
         if re.fullmatch("[0-9a-f]+", text):
@@ -257,12 +262,20 @@ def find(text: str) -> list[tuple[int, int, str]]:
     for kind, pattern, good in KINDS:
         group = 1 if kind == "secret" else 0
         for m in pattern.finditer(text):
-            a, b = m.span(group)
-            if all(b <= s or a >= e for s, e, _ in taken) and good(text[a:b]):
-                taken.append((a, b, kind))
+            for a, b in parts(text, *m.span(group)) if kind == "card" else [m.span(group)]:
+                if good(text[a:b]) and all(b <= s or a >= e for s, e, _ in taken):
+                    taken.append((a, b, kind))
+                    break
     return sorted(taken)
 
 
+def parts(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """A run of digit groups, and what is left of it without groups at its ends, the longest first: a number may stand beside a card's."""
+    starts = [a] + [i + 1 for i in range(a, b) if not text[i].isdigit()]
+    ends = [i for i in range(a, b) if not text[i].isdigit()] + [b]
+    yield from sorted(((s, e) for s in starts for e in ends if e - s >= 13), key=lambda x: (x[0] - x[1], x))
+
+
 def replace(text: str, cipher: Cipher) -> tuple[str, list[tuple[int, int, str]]]:
     spans = find(text)
     if not spans:
@@ -277,8 +290,17 @@ def replace(text: str, cipher: Cipher) -> tuple[str, list[tuple[int, int, str]]]
 # columns ---------------------------------------------------------------------------------------
 
 
-def pseudonymise(docs: DataFrame, secret: bytes = DEFAULT_KEY, key: str = "doc_id", text: str = "text", forward: bool = True) -> DataFrame:
-    """(key, text, n_values, kinds) of every row: the text with pseudonyms, and the kinds of the values in order."""
+def session_key(spark: SparkSession) -> bytes:
+    """The key in the session's setting ``spark.docloom.pii.key``; without one, ``DEFAULT_KEY``, which anyone can invert."""
+    return spark.conf.get("spark.docloom.pii.key", DEFAULT_KEY.decode()).encode()
+
+
+def pseudonymise(docs: DataFrame, secret: bytes | None = None, key: str = "doc_id", text: str = "text", forward: bool = True) -> DataFrame:
+    """(key, text, n_values, kinds) of every row: the text with pseudonyms, and the kinds of the values in order.
+
+    ``secret``: the key; that of the session if none is given.
+    """
+    secret = session_key(docs.sparkSession) if secret is None else secret
 
     def step(cipher, keys, texts) -> Iterator[tuple]:
         for k, t in zip(keys, texts, strict=True):

@@ -27,6 +27,28 @@ def test_round_trip_and_formats():
     assert pii.replace(TEXT, pii.Cipher(b"another"))[0] != new
 
 
+def test_a_card_beside_another_number():
+    for text in ("4111 1111 1111 1111 123", "77 4111 1111 1111 1111", "12-4111-1111-1111-1111-9"):
+        (a, b, kind), = pii.find(text)
+        assert kind == "card" and text[a:b].replace(" ", "").replace("-", "") == "4" + "1" * 15
+
+
+def test_a_phone_is_linked_however_it_is_written():
+    cipher = pii.Cipher(b"k")
+    out = [cipher.done("phone", t) for t in ("(212) 555-0187", "212-555-0187", "+1 212.555.0187")]
+    assert len({"".join(c for c in t if c.isdigit())[-10:] for t in out}) == 1 and out[1][3] == out[1][7] == "-"
+
+
+def test_the_key_of_the_session(make, spark):
+    docs = make([(1, "x 10.20.30.40")])
+    one = pii.pseudonymise(docs).first().text
+    spark.conf.set("spark.docloom.pii.key", "another")
+    try:
+        assert pii.pseudonymise(docs).first().text == pii.pseudonymise(docs, b"another").first().text != one
+    finally:
+        spark.conf.unset("spark.docloom.pii.key")
+
+
 def test_invalid_values_stay():
     text = "card 4111-1111-1111-1112, 2023-02-30, 300.1.1.1, 000-12-3456, version 1.2.3.4.5, CC BY-NC 4.0"
     assert pii.replace(text, pii.Cipher())[0] == text
