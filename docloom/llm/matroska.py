@@ -3,10 +3,11 @@
 A payload is cut into frames of one size and muxed as 8-bit PCM: EBML header, segment with info,
 one track, clusters of laced SimpleBlocks and a cue for every cluster. ``parse`` reads any such
 file: variable-length ids and sizes, unknown sizes, Void elements, SimpleBlock and BlockGroup, and
-the four kinds of lacing; it gives one packet a frame with timestamp, track and byte range.
+the four kinds of lacing; it gives one packet a frame with timestamp, track and byte range. A laced frame's timestamp is its
+block's and the frames' durations before it: shares of the block group's duration, or the track's default duration.
 
 Defined cases: null text counts as empty text; an empty text gives one frame of padding; equal
-texts give equal bytes; other columns of the input are ignored.
+texts give equal bytes; a null file has no packets and a digest of nulls; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ TRACK_NUMBER = 0xD7
 TRACK_UID = 0x73C5
 TRACK_TYPE = 0x83
 FLAG_LACING = 0x9C
+DEFAULT_DURATION = 0x23E383
 CODEC_ID = 0x86
 AUDIO = 0xE1
 SAMPLING_FREQUENCY = 0xB5
@@ -60,6 +62,7 @@ TIMESTAMP = 0xE7
 SIMPLE_BLOCK = 0xA3
 BLOCK_GROUP = 0xA0
 BLOCK = 0xA1
+BLOCK_DURATION = 0x9B
 CUES = 0x1C53BB6B
 CUE_POINT = 0xBB
 CUE_TIME = 0xB3
@@ -143,7 +146,7 @@ def mux(payload: bytes, frame: int = FRAME, frames_a_block: int = FRAMES_A_BLOCK
     )
     info = element(INFO, unsigned(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", float(n * ms))) + element(MUXING_APP, b"docloom") + element(WRITING_APP, b"docloom"))
     audio = element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", float(SAMPLE_RATE))) + unsigned(CHANNELS, 1) + unsigned(BIT_DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK_ENTRY, unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1) + unsigned(TRACK_TYPE, 2) + unsigned(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK_ENTRY, unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1) + unsigned(TRACK_TYPE, 2) + unsigned(FLAG_LACING, 1) + unsigned(DEFAULT_DURATION, ms * 1_000_000) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
     parts, position, cues = [info, tracks], len(info) + len(tracks), []
     for base in range(0, n, frames_a_cluster):
         blocks = [unsigned(TIMESTAMP, base * ms)]
@@ -212,7 +215,8 @@ def parse(data: bytes) -> Media:
     """The packets and cues of a Matroska file."""
     packets: list[Packet] = []
     cues: list[tuple[int, int, int]] = []
-    state = {"cluster": -1, "block": -1, "time": 0, "scale": 1_000_000, "codec": "", "depth": 0, "duration": 0.0, "segment": 0, "cue": [0, 0, 0]}
+    durations: dict[int, int] = {}  # of a frame, in nanoseconds, by track
+    state = {"track": 0, "frame": 0, "cluster": -1, "block": -1, "time": 0, "scale": 1_000_000, "codec": "", "depth": 0, "duration": 0.0, "segment": 0, "cue": [0, 0, 0]}
 
     def block(at: int, end: int, simple: bool) -> None:
         track, at, _ = read_vint(data, at)
@@ -220,10 +224,18 @@ def parse(data: bytes) -> Media:
         lacing = flags >> 1 & 3
         sizes, at = _frame_sizes(data, at + 3, end, lacing)
         state["block"] += 1
-        for size in sizes:
-            packets.append(Packet(state["cluster"], state["block"], track, state["time"] + relative, lacing, bool(flags & 0x80) if simple else True, at, size))
+        each = durations.get(track, 0)
+        for i, size in enumerate(sizes):
+            time = state["time"] + relative + i * each // state["scale"]
+            packets.append(Packet(state["cluster"], state["block"], track, time, lacing, bool(flags & 0x80) if simple else True, at, size))
             at += size
 
+    def spread(first: int, duration: int) -> None:
+        """A block group's own duration goes before its track's."""
+        n = len(packets) - first
+        for i in range(1, n):
+            packets[first + i] = packets[first + i]._replace(timestamp=packets[first].timestamp + i * duration // n)
+
     def walk(at: int, end: int, inside: int) -> int:
         while at < end:
             start = at
@@ -240,15 +252,23 @@ def parse(data: bytes) -> Media:
             elif ident == CLUSTER:
                 state["cluster"] += 1
             if ident in MASTERS:
+                first = len(packets)
+                state.update({BLOCK_GROUP: {"length": None}, TRACK_ENTRY: {"track": 0, "frame": 0}}.get(ident, {}))
                 got = walk(at, stop, ident)
                 if ident == CUE_POINT:
                     cues.append(tuple(state["cue"]))
+                elif ident == TRACK_ENTRY and state["frame"]:
+                    durations[state["track"]] = state["frame"]
+                elif ident == BLOCK_GROUP and state["length"] is not None:
+                    spread(first, state["length"])
                 at = got if unknown else stop
                 continue
             if ident == SIMPLE_BLOCK or ident == BLOCK:
                 block(at, stop, ident == SIMPLE_BLOCK)
             elif ident == TIMESTAMP:
                 state["time"] = int.from_bytes(data[at:stop], "big")
+            elif ident in (TRACK_NUMBER, DEFAULT_DURATION, BLOCK_DURATION):
+                state[{TRACK_NUMBER: "track", DEFAULT_DURATION: "frame", BLOCK_DURATION: "length"}[ident]] = int.from_bytes(data[at:stop], "big")
             elif ident == TIMESTAMP_SCALE:
                 state["scale"] = int.from_bytes(data[at:stop], "big")
             elif ident == CODEC_ID:
@@ -312,6 +332,9 @@ def digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def step(keys, sizes, files) -> Iterator[tuple]:
         for k, n, data in zip(keys, sizes, files, strict=True):
+            if data is None:
+                yield k, n, *[None] * 6
+                continue
             found = parse(data)
             payload = demux(data, found)
             yield k, n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), sha256(data).hexdigest(), features(data, found, payload)

@@ -28,7 +28,7 @@ def test_mux_and_demux(n):
     data = M.mux(payload)
     media = M.parse(data)
     assert M.demux(data, media) == payload and media.codec == "A_PCM/INT/LIT" and media.bit_depth == 8
-    assert [p.timestamp for p in media.packets[:9]] == [12 * p.block * 8 for p in media.packets[:9]]
+    assert [p.timestamp for p in media.packets] == [12 * i for i in range(len(media.packets))]
     assert all(data[at : at + 4] == M.CLUSTER.to_bytes(4, "big") for _, _, at in media.cues) and len(media.cues) == media.clusters
 
 
@@ -40,6 +40,14 @@ def test_unknown_sizes_block_groups_and_void():
     assert media.clusters == 2 and [(p.cluster, p.timestamp, data[p.offset : p.offset + p.length]) for p in media.packets] == [(0, 105, b"abc"), (1, 105, b"abc")]
 
 
+def test_durations_of_laced_frames():
+    laced = b"\x81" + struct.pack(">hB", 5, M.FIXED << 1) + b"\x02abcabcabc"
+    group = M.element(M.BLOCK_GROUP, M.element(M.BLOCK, laced) + M.unsigned(M.BLOCK_DURATION, 30))
+    tracks = M.element(M.TRACKS, M.element(M.TRACK_ENTRY, M.unsigned(M.TRACK_NUMBER, 1) + M.unsigned(M.DEFAULT_DURATION, 7_000_000)))
+    data = M.element(M.EBML, b"") + M.element(M.SEGMENT, tracks + M.element(M.CLUSTER, M.unsigned(M.TIMESTAMP, 100) + M.element(M.SIMPLE_BLOCK, laced) + group + M.element(M.BLOCK_GROUP, M.element(M.BLOCK, laced))))
+    assert [p.timestamp for p in M.parse(data).packets] == [105, 112, 119, 105, 115, 125, 105, 112, 119]
+
+
 def test_damaged_files_are_told():
     with pytest.raises(ValueError):
         M.parse(b"RIFF")
@@ -59,5 +67,7 @@ def test_digest_of_the_column(odd):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert len({r.media_sha256 for r in rows if r.doc_id in (4, 5)}) == 1
     assert M.media_column(odd.limit(0)).count() == 0
+    none = odd.limit(1).selectExpr("doc_id", "0L as n_bytes", "cast(null as binary) as media", "1 as packet")
+    assert [tuple(r)[2:] for r in M.digest(none).collect()] == [(None,) * 6] and M.packet_table(none).count() == 0
     table = M.packet_table(M.media_column(odd.where("doc_id = 6")))
     assert table.agg({"length": "sum"}).first()[0] == [r for r in rows if r.doc_id == 6][0].payload_bytes
