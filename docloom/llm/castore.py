@@ -45,6 +45,8 @@ class Config:
     mask_bits: int = 8
     least: int = 64
     most: int = 1024
+    #: Recipes of a range, about, at most.
+    range: int = 100_000
 
 
 # chunking --------------------------------------------------------------------------------------
@@ -189,10 +191,10 @@ def write(docs: DataFrame, path: str, config: Config = Config(), key: str = "doc
             at, before = at + len(n), int(sums[-1]) if len(n) else before
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("data").asc()]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-recipes.count() // config.range))
     recipes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(place, placed).write.option("compression", "zstd").parquet(f"{path}/recipes")
 
-    # a row a range; their number is the number of partitions, whatever the input's size
+    # a row a range
     rows = spark.read.schema(placed).parquet(f"{path}/recipes")
     before, manifest = 0, []
     for seal in sorted(seals(rows).collect()):
@@ -204,44 +206,52 @@ def write(docs: DataFrame, path: str, config: Config = Config(), key: str = "doc
 _SEAL = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("first", T.StringType()), T.StructField("recipes", T.LongType()), T.StructField("ids", T.LongType()), T.StructField("root", T.BinaryType())])
 
 
+class Merkle:
+    """The root of ``merkle`` over leaves that come one by one, from the roots of whole subtrees, the largest first."""
+
+    def __init__(self):
+        self.roots: list[tuple[int, bytes]] = []  # (height, root)
+
+    def add(self, one: bytes) -> None:
+        height, root = 0, blake2b(b"\0" + one, digest_size=32).digest()
+        while self.roots and self.roots[-1][0] == height:
+            root = blake2b(b"\1" + self.roots.pop()[1] + root, digest_size=32).digest()
+            height += 1
+        self.roots.append((height, root))
+
+    def root(self) -> bytes:
+        if not self.roots:
+            return merkle([])
+        out = self.roots[-1][1]
+        for _, left in reversed(self.roots[:-1]):
+            out = blake2b(b"\1" + left + out, digest_size=32).digest()
+        return out
+
+
 def _seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for one range: its first id, recipes, ids and Merkle root."""
-    leaves, first, ids, part = [], None, 0, None
+    """A row a range: its first id, recipes, ids and Merkle root. Rows come sorted by range; none is held."""
+    form, out, own = arrow_schema(_SEAL), [], None
+
+    def end() -> tuple:
+        return own[0], own[1], own[2], own[3], own[4].root()
+
     for batch in batches:
         for p, _place, doc, _before, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if part is None:
-                part, first = p, str(doc)
-            leaves.append(leaf(doc, n, data))
-            ids += n
-    form = arrow_schema(_SEAL)
-    yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip((part, first, len(leaves), ids, merkle(leaves)), form, strict=True)], schema=form)
+            if own is None or own[0] != p:
+                if own:
+                    out.append(end())
+                own = [p, str(doc), 0, 0, Merkle()]
+            own[2] += 1
+            own[3] += n
+            own[4].add(leaf(doc, n, data))
+    if own:
+        out.append(end())
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), form, strict=True)], schema=form)
 
 
 def seals(rows: DataFrame) -> DataFrame:
-    return rows.repartition("part").sortWithinPartitions("part", "place").mapInArrow(_by_part(_seal), _SEAL)
-
-
-def _by_part(step):
-    """Calls ``step`` on the batches of one range after the other; rows come sorted by range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current = None
-        for batch in batches:
-            parts = batch.column(0).to_numpy(zero_copy_only=False)
-            bounds = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                if a == b:
-                    continue
-                if held and parts[a] != current:
-                    yield from step(held)
-                    held = []
-                current = parts[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from step(held)
-
-    return run
+    return rows.repartition("part").sortWithinPartitions("part", "place").mapInArrow(_seal, _SEAL)
 
 
 def leaf(doc, n: int, data: bytes) -> bytes:
@@ -318,13 +328,19 @@ def reconstruct(spark: SparkSession, path: str, config: Config = Config()) -> Da
     recipes = placed_recipes(spark, path)
     kind = recipes.schema["doc_id"].dataType.simpleString()
     refs = recipes.select("part", "place", F.expr(f"posexplode(transform(sequence(0, length(data) div {KEY_BYTES} - 1), i -> substring(data, i * {KEY_BYTES} + 1, {KEY_BYTES}))) as (seq, key)"))
-    parts = refs.join(chunks(spark, path).select("key", F.col("data").alias("bytes")), "key").groupBy("part", "place").agg(F.sort_array(F.collect_list(F.struct("seq", "bytes"))).alias("parts"))
+    whole = chunks(spark, path).select("key", "n", F.col("data").alias("bytes"))
+    parts = refs.join(whole, "key", "left").groupBy("part", "place").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "n", "bytes"))).alias("parts"))
 
-    def join(docs, starts, parts) -> Iterator[tuple]:
-        for doc, start, found in zip(docs, starts, parts, strict=True):
-            yield doc, start, np.frombuffer(b"".join(x["bytes"] for x in found), f"<u{width}").astype(np.int64).tolist()
+    def join(docs, starts, stated, parts) -> Iterator[tuple]:
+        for doc, start, n, found in zip(docs, starts, stated, parts, strict=True):
+            if any(x["bytes"] is None or content_key(x["bytes"]) != x["key"] or len(x["bytes"]) != x["n"] * width for x in found):
+                raise ValueError(f"a chunk of document {doc} is missing or damaged")
+            ids = np.frombuffer(b"".join(x["bytes"] for x in found), f"<u{width}").astype(np.int64).tolist()
+            if len(ids) != n:
+                raise ValueError(f"the chunks of document {doc} don't have its number of ids")
+            yield doc, start, ids
 
-    return map_rows(recipes.select("part", "place", "doc_id", "start").join(parts, ["part", "place"]), ["doc_id", "start", "parts"], f"doc_id {kind}, start long, ids array<int>", join)
+    return map_rows(recipes.select("part", "place", "doc_id", "start", F.col("n").alias("stated")).join(parts, ["part", "place"]), ["doc_id", "start", "stated", "parts"], f"doc_id {kind}, start long, ids array<int>", join)
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
@@ -333,8 +349,15 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/manifest").join(now, "part", "left").select("part", F.coalesce(F.col("root") == F.col("found"), F.lit(False)).alias("good"))
 
 
+def check(spark: SparkSession, path: str) -> None:
+    bad = [r.part for r in verify(spark, path).where("not good").limit(10).collect()]
+    if bad:
+        raise ValueError(f"recipes of the ranges {bad} differ from the manifest")
+
+
 def stored(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """Writes the documents to a store in the shared folder and reads their digests back."""
+    """Writes the documents to a store in the shared folder, holds it against its manifest and reads the digests back."""
     path = shared_path(docs.sparkSession, "store")
     write(docs, path, config)
+    check(docs.sparkSession, path)
     return read_digests(docs.sparkSession, path, config)

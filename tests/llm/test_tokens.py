@@ -139,6 +139,43 @@ def test_store_round_trip(odd, spark, codes, tmp_path):
     assert len(copies) == 3 and castore.chunks(spark, path).select("key").distinct().count() == castore.chunks(spark, path).count()
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 6, 7, 8, 11, 64, 100])
+def test_merkle_of_leaves_one_by_one(n):
+    tree, leaves = castore.Merkle(), [bytes([i]) for i in range(n)]
+    for one in leaves:
+        tree.add(one)
+    assert tree.root() == castore.merkle(leaves)
+
+
+def test_damage_is_told(make, spark, tmp_path):
+    import shutil
+
+    def store(name):
+        path = f"{tmp_path}/{name}"
+        castore.write(make([(i, prose(i, 900)) for i in range(6)]), f"file://{path}", castore.Config(range=2))
+        return path, f"file://{path}"
+
+    path, url = store("recipes")
+    castore.check(spark, url)
+    rows = [tuple(r) for r in spark.read.parquet(f"{url}/recipes").collect()]
+    assert len({r[0] for r in rows}) > 1
+    schema = spark.read.parquet(f"{url}/recipes").schema
+    shutil.rmtree(f"{path}/recipes")
+    spark.createDataFrame([(*r[:4], r[4] + 1, r[5]) if r[2] == 3 else r for r in rows], schema).write.parquet(f"{url}/recipes")
+    with pytest.raises(ValueError):
+        castore.check(spark, url)
+
+    path, url = store("chunks")
+    held = [tuple(r) for r in castore.chunks(spark, url).collect()]
+    schema = castore.chunks(spark, url).schema
+    for bad in (held[1:], [(held[0][0], held[0][1], b"x" * len(held[0][2])), *held[1:]]):
+        shutil.rmtree(f"{path}/objects/kind=chunk")
+        spark.createDataFrame(bad, schema).write.parquet(f"{url}/objects/kind=chunk")
+        for read in (castore.reconstruct, castore.read_digests):
+            with pytest.raises(Exception, match="missing|damaged"):
+                read(spark, url).collect()
+
+
 def test_empty_store(odd, spark, tmp_path):
     castore.write(odd.limit(0), f"file://{tmp_path}/none")
     assert castore.read_digests(spark, f"file://{tmp_path}/none").count() == 0
