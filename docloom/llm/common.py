@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,12 +17,14 @@ SLICE_CHARS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees (``spark.checkpoint.dir``); a local one is set only where none is."""
+    """The folder that every executor sees (``spark.checkpoint.dir``). Where none is set, a session of one machine gets a local one; a cluster's fails."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all of it sees")
         found = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -50,6 +53,14 @@ def remove(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> No
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be none of the columns'."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,8 @@ have a MinHash signature, banded one by one; a hit makes (document, item) a cand
 distinct shingles that the whole document has, compared as words, decides. Windows' signatures are
 minima over blocks, merged upwards from class to class: a shingle is hashed once, whatever the classes.
 
-Items come in blocks of bounded size that are broadcast one by one; documents are never shuffled.
+Items come in blocks of bounded size: one is collected, broadcast, searched for in all documents and dropped before the next, whose
+findings are tables in the shared folder. Documents are never shuffled, but for ``clean`` with several blocks, an anti-join on texts' md5.
 
 Defined cases: null and empty texts have no shingles and match nothing; an item of one to four words is one shingle
 and found where a document has these words in a row; repeated rows of documents or items give repeated
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices
+from .common import free_name, map_rows, materialize, slices
 from .shingles import WIDTH, flat_shingles, flat_words, words
 
 
@@ -143,42 +144,59 @@ class Index:
         return out
 
 
-def _blocks(items: DataFrame, config: Config, item: str, text: str) -> list[list[tuple]]:
-    """The items in blocks of bounded size."""
+def _blocks(items: DataFrame, config: Config, item: str, text: str) -> tuple[int, Iterator[list[tuple]]]:
+    """The number of blocks, and the items block by block: the driver holds one, of bounded size."""
     rows = items.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // config.block_bytes)
-    return [[tuple(r) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()] for k in range(n)]
+    return n, ([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()] for k in range(n))
 
 
 def search(docs: DataFrame, items: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, shared, shingles, containment) of every document and item that it contains."""
+    spark = docs.sparkSession
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` {items.schema[item].dataType.simpleString()}, shared int, shingles int, containment double"
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for k, block in enumerate(_blocks(items, config, item, item_text)):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block, config))  # of at most block_bytes of text
+    n, blocks = _blocks(items, config, item, item_text)
+    out = None
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(Index(block, config))  # of at most block_bytes of text
 
         def step(index, keys, texts) -> Iterator[tuple]:
             for doc, found in zip(keys, index.search(texts), strict=True):
-                yield from ((doc, at, n, size, n / size) for at, n, size in found)
+                yield from ((doc, at, m, size, m / size) for at, m, size in found)
 
         got = map_rows(rows, [key, "text"], schema, step, lambda shared=shared: shared.value)
-        out = got if not k else out.unionByName(got)
-    return out
+        if n > 1:  # what a block finds is written before the next one is made, so that one is held at a time
+            got = materialize(got, "contained")
+            shared.destroy()
+        out = got if out is None else out.unionByName(got)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def clean(docs: DataFrame, items: DataFrame, config: Config = Config(), text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that contain no item, with their own columns."""
-    for block in _blocks(items, config, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block, config))  # of at most block_bytes of text
-        docs = docs.where(~_holds(shared)(F.col(text)))
-    return docs
+    spark = docs.sparkSession
+    n, blocks = _blocks(items, config, item, item_text)
+    name = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    tainted = None
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(Index(block, config))  # of at most block_bytes of text
+        if n == 1:
+            return docs.where(~_holds(shared)(F.col(text).cast("string")))
+        found = materialize(docs.where(_holds(shared)(F.col(text).cast("string"))).select(name.alias("name")).distinct(), "tainted")
+        shared.destroy()
+        tainted = found if tainted is None else tainted.unionByName(found)
+    if tainted is None:
+        return docs
+    # texts decide, so rows of one id and different texts are told apart
+    other = free_name(docs, "tainted")
+    return docs.join(tainted.select(F.col("name").alias(other)), name == F.col(other), "left_anti")
 
 
 def _holds(shared):
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(found) for found in shared.value.search(list(texts))])
+        return pd.Series([bool(found) for found in shared.value.search(list(texts))], dtype=bool)
 
     return holds

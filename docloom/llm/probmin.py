@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, shared_dir
+from .common import free_name, map_rows, materialize, remove, shared_dir
 from .graph import components, star_links
 from .shingles import WIDTH, flat_shingles, flat_words, mixed, words
 
@@ -217,6 +217,8 @@ def links(rows: DataFrame, config: Config = Config()) -> DataFrame:
     wanted = active.select("node").distinct()
     texts = materialize(rows.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi"), "texts")
     found = star_links(active, lambda pairs: verified(pairs, texts, config), alike(config))
+    for df in (signs, crowded, active, texts):
+        remove(df)
     return found if found is not None else spark.createDataFrame([], "a binary, b binary")
 
 
@@ -239,8 +241,8 @@ def classes(docs: DataFrame, config: Config = Config(), key: str = "doc_id", tex
 def keep_one(docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class, that of the least id, with its own columns."""
     rows = nodes(docs, key, text)
-    kept = class_map(rows, config).select(F.col("class_id").alias("__id"), F.col("first_node").alias("__of")).distinct()
-    node = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
-    named = docs.withColumn("__node", node)
-    near = named.join(kept, named[key].eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__of")), "left_semi")
-    return near.dropDuplicates([key, "__node"]).drop("__node")
+    own, first, of = (free_name(docs, c) for c in ("node", "first_id", "first_node"))
+    kept = class_map(rows, config).select(F.col("class_id").alias(first), F.col("first_node").alias(of)).distinct()
+    named = docs.withColumn(own, F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))))
+    near = named.join(kept, F.col(key).eqNullSafe(F.col(first)) & (F.col(own) == F.col(of)), "left_semi")
+    return near.dropDuplicates([key, own]).drop(own)

@@ -85,6 +85,8 @@ def test_odd_rows(odd, make):
     assert probmin.classes(odd.limit(0)).count() == 0
     kept = probmin.keep_one(odd)
     assert kept.columns == odd.columns and kept.count() == len({t or "" for _, t in rows})
+    clash = make([(1, prose(1, 30)), (2, prose(1, 30))]).selectExpr("doc_id", "text", "1 as __id", "2 as first_id", "3 as first_node", "4 as tainted")
+    assert [tuple(r)[2:] for r in probmin.keep_one(clash).collect()] == [(1, 2, 3, 4)]
     assert probmin.keep_one(make([(None, "a"), (None, "b"), (None, "a")])).count() == 2
 
 
@@ -142,6 +144,7 @@ def test_containment_against_brute_force(make, spark):
     assert left == {d for d, _ in docs} - {d for d, _ in found}
     small = decontam.Config(block_bytes=300)
     assert {(r.doc_id, r.item_id) for r in decontam.search(make(docs), table, small).collect()} == found
+    assert {r.doc_id for r in decontam.clean(make(docs), table, small).collect()} == left and decontam.clean(make(docs), table, small).columns == make(docs).columns
 
 
 def test_items_of_few_words_in_long_documents():
