@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_multi_part
-from ..plans.storage import materialize
 from . import fusion, gates
+from .storage import materialize
 
 
 @dataclass(frozen=True)

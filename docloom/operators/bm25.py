@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 #: Each CJK character is a token; all else is split at Unicode white space, marks attached.
 MEMORY_TOKENS = "(?U)[一-鿿]|[^\\s一-鿿]+"
 #: CJK characters with extensions, and ASCII words with inner marks.
@@ -25,30 +27,45 @@ def tokens(text: Column, pattern: str = MEMORY_TOKENS) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), 0)
 
 
+#: Distinct terms asked for up to which they are broadcast; beyond, postings are joined with them by shuffle.
+MOST_TERMS = 200_000
+
+
 @dataclass(frozen=True)
 class Index:
-    """postings (chunk_id, term, tf, dl), terms (term, df, idf) and the corpus figures (n_chunks, avgdl)."""
+    """sized (chunk_id, tokens, dl), terms (term, df, idf) and the corpus figures (n_chunks, avgdl)."""
 
-    postings: DataFrame
+    sized: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
+    def postings(self, asked: DataFrame) -> DataFrame:
+        """(chunk_id, term, tf, dl) of the terms (term, distinct) asked for: others are left before anything is shuffled."""
+        wanted = F.broadcast(asked) if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS else asked
+        each = self.sized.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+        return each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
 
 def build(chunks: DataFrame, params: Params = Params(), pattern: str = MEMORY_TOKENS, key: str = "chunk_id", text: str = "text") -> Index:
-    """Statistics over all chunks. Terms are counted before they are shuffled."""
+    """Statistics over all chunks; keys are distinct. Terms are counted before they are shuffled."""
     sized = chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text), pattern).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = sized.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     corpus = sized.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))  # one row
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus)).select("term", "df", F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    counted = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = counted.crossJoin(F.broadcast(corpus)).select("term", "df", F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * params.epsilon).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, terms, corpus)
+    return Index(sized, terms, corpus)
+
+
+def stored(index: Index) -> Index:
+    """The index written to the shared folder, for more than one search."""
+    return Index(materialize(index.sized, "sized"), materialize(index.terms, "terms"), materialize(index.corpus, "corpus"))
 
 
 def score(index: Index, queries: DataFrame, params: Params = Params(), pattern: str = MEMORY_TOKENS) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk that shares a term with the query; repeated terms count repeatedly."""
     asked = queries.select("query_id", F.explode(tokens(F.col("question"), pattern)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    matched = asked.join(index.terms, "term").join(index.postings, "term").crossJoin(F.broadcast(index.corpus))
+    matched = asked.join(index.terms, "term").join(index.postings(asked.select("term").distinct()), "term").crossJoin(F.broadcast(index.corpus))
     norm = params.k1 * (1 - params.b + params.b * F.col("dl") / F.col("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + norm)
     return matched.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))

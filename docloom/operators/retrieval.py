@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bm25, fusion, vectors as V
@@ -11,36 +11,27 @@ from . import bm25, fusion, vectors as V
 MOST_SENTENCES = 50_000
 
 
-def chunk_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Stand-ins for a model: chunks and questions take vectors of the given table by their ids."""
-    from ..plans.tables import chunks, questions, vectors
+def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, asked: DataFrame, fetch: int, domain: str | None = None) -> DataFrame:
+    """Fused hits of vector and lexical search, every question against every chunk.
 
-    base = vectors(spark, sf_dir).select("vec_id", "embedding")
-    n = base.count()
-    of_chunk = chunks(spark, sf_dir).select(F.col("chunk_id").alias("vec"), ((F.col("doc_id") * 31 + F.col("pos")) % n).alias("vec_id"))
-    of_question = questions(spark, sf_dir).select("query_id", ((F.col("query_id") * 7) % n).alias("vec_id"))
-    return of_chunk.join(base, "vec_id").select(F.col("vec").alias("vec_id"), "embedding"), of_question.join(base, "vec_id").select("query_id", "embedding")
-
-
-def hybrid(spark: SparkSession, sf_dir: str, fetch: int) -> DataFrame:
-    """Fused hits of vector and lexical search over the chunks, every question of the block against every chunk."""
-    from ..plans.tables import chunks, questions
-
-    rows, asked = chunk_vectors(spark, sf_dir)
-    asked = asked.withColumn("query_key", F.col("query_id").cast("string"))
-    found = rows.join(F.broadcast(asked.select("query_id", F.col("embedding").alias("query")))).select("query_id", F.col("vec_id").alias("id"), V.dot(F.col("embedding"), F.col("query")).alias("score"))
-    vec = found.withColumn("rank", F.row_number().over(fusion.by_score("query_id"))).where(F.col("rank") <= fetch)
-    lex = bm25.search(bm25.build(chunks(spark, sf_dir)), questions(spark, sf_dir), fetch).withColumnRenamed("chunk_id", "id")
+    ``chunks`` (chunk_id, text, domain if one is asked for), ``vectors`` (vec_id, which is the chunk's id, and embedding), ``questions``
+    (query_id, question), ``asked`` (query_id, embedding). With ``domain`` only its chunks are searched, by both ways.
+    """
+    if domain is not None:
+        chunks = chunks.where(F.col("domain") == domain)
+        vectors = vectors.join(chunks.select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi")
+    vec = V.nearest(vectors, asked, fetch).withColumnRenamed("vec_id", "id")
+    lex = bm25.search(bm25.build(chunks), questions, fetch).withColumnRenamed("chunk_id", "id")
     return fusion.rrf(vec, lex)
 
 
-def retrieve(spark: SparkSession, sf_dir: str, k: int, most_per_doc: int = 2) -> DataFrame:
-    """The served order: hybrid search over max(2 k, 20) hits, diversity with back-fill, the first k."""
-    from ..plans.tables import chunks
-
+def retrieve(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, asked: DataFrame, k: int, most_per_doc: int = 2, domain: str | None = None, scorer=None) -> DataFrame:
+    """The served order: hybrid search over max(2 k, 20) hits, reranking by ``scorer(question, text)`` if there is one, diversity with back-fill, the first k."""
     fetch = max(2 * k, 20)
-    fused = hybrid(spark, sf_dir, fetch).where(F.col("rank") <= fetch)
-    named = fused.join(chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "filename"), "id")
+    fused = hybrid(chunks, vectors, questions, asked, fetch, domain).where(F.col("rank") <= fetch)
+    named = fused.join(chunks.select(F.col("chunk_id").alias("id"), "filename", *(["text"] if scorer else [])), "id")
+    if scorer is not None:
+        named = fusion.reranked(named.join(questions, "query_id"), scorer, fetch)
     return fusion.diversified(named, most_per_doc, k)
 
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of queries up to which they are broadcast; beyond, they go in blocks.
-QUERY_BLOCK = 10_000
+#: Queries of a block: what one matrix product takes, and what every task is sent at once.
+QUERY_BLOCK = 2_000
+#: Scores that a step holds at once.
+SCORES = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,11 +35,83 @@ def scored(vectors: DataFrame, queries: DataFrame, where: Column | None = None)
     return base.join(F.broadcast(block), F.col("query_id") != F.col("vec_id")).withColumn("score", dot(F.col("embedding"), F.col("query")))
 
 
+def order_by(partition: str, then: str) -> Window:
+    return Window.partitionBy(partition).orderBy(F.round("score", 9).desc(), F.col(then))
+
+
+def first_of_each(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best: greatest scores first, ties by id."""
+    place = np.unique(ids, return_inverse=True)[1]
+    order = np.lexsort((place, -score, query))
+    sorted_query = query[order]
+    starts = np.flatnonzero(np.r_[True, sorted_query[1:] != sorted_query[:-1]])
+    nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return order[nth < k]
+
+
+def block_hits(vectors: DataFrame, keys: list, matrix: np.ndarray, k: int, itself: bool, schema: T.StructType) -> DataFrame:
+    """Each task's k best vectors of every query of one block, by matrix products."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    width = matrix.shape[1]
+    names = np.array(keys, dtype=object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, score, ids = np.empty(0, int), np.empty(0), np.empty(0, object)
+        least = np.full(len(keys), -np.inf)
+        step = max(1, SCORES // len(keys))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                those = np.array(part.column(0).to_pylist(), dtype=object)
+                rows = np.asarray(part.column(1).flatten(), dtype=float).reshape(-1, width)
+                found = np.round(matrix @ rows.T, 9)
+                if not itself:
+                    found[names[:, None] == those[None, :]] = -np.inf
+                if len(those) > k:
+                    least = np.maximum(least, np.partition(found, -k, axis=1)[:, -k])
+                q, j = np.nonzero((found >= least[:, None]) & (found > -np.inf))
+                query, score, ids = np.r_[query, q], np.r_[score, found[q, j]], np.r_[ids, those[j]]
+                if len(query):
+                    best = first_of_each(query, score, ids, k)
+                    query, score, ids = query[best], score[best], ids[best]
+        if len(query):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((names[query].tolist(), ids.tolist(), score), to_arrow_schema(schema), strict=True)], schema=to_arrow_schema(schema))
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, schema)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, itself: bool = True) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k vectors of greatest inner product, ties (to nine decimals) by id.
+
+    Queries are a stated set. They are brought to the driver and sent out ``QUERY_BLOCK`` at a time; a task keeps k hits a query, and only
+    these are shuffled. Without ``itself`` a query doesn't find the vector of its own id. Null vectors are skipped; vectors have one length.
+    """
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())])
+    whole = vectors.where("vec_id is not null and embedding is not null")
+    out, keys, block = None, [], []
+
+    def flush() -> None:
+        nonlocal out, keys, block
+        hits = block_hits(whole, keys, np.array(block, dtype=float), k, itself, schema)
+        out = hits if out is None else out.unionByName(hits)
+        keys, block = [], []
+
+    for row in queries.select("query_id", "embedding").where("embedding is not null").toLocalIterator():
+        keys.append(row[0])
+        block.append(row[1])
+        if len(keys) == QUERY_BLOCK:
+            flush()
+    if keys:
+        flush()
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    return out.withColumn("rank", F.row_number().over(order_by("query_id", "vec_id"))).where(F.col("rank") <= k)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k vectors of greatest inner product; a partial top-k runs before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("vec_id"))
-    found = scored(vectors, queries, where).select("query_id", "vec_id", "score")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """(query_id, vec_id, score, rank): the k vectors of greatest inner product but the query's own, among those that pass the filter."""
+    return nearest(vectors if where is None else vectors.where(where), queries, k, itself=False)
 
 
 def sampled(vectors: DataFrame, n: int) -> DataFrame:

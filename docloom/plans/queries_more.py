@@ -54,11 +54,9 @@ _METRIC = "round(CAST(avg(CAST(first IS NOT NULL AS INT)) AS DOUBLE), 4) AS hit_
 def ablation(spark, sf_dir):
     """The same questions through vector, lexical and fused lists."""
     from ..operators import bm25, vectors as V
-    from .tables import questions
+    from .tables import questions, stand_ins
 
-    rows, asked = retrieval.chunk_vectors(spark, sf_dir)
-    found = rows.join(F.broadcast(asked.select("query_id", F.col("embedding").alias("query")))).select("query_id", F.col("vec_id").alias("id"), V.dot(F.col("embedding"), F.col("query")).alias("score"))
-    vec = found.withColumn("rank", F.row_number().over(fusion.by_score("query_id"))).where(F.col("rank") <= 20)
+    vec = V.nearest(*stand_ins(spark, sf_dir), 20).withColumnRenamed("vec_id", "id")
     lex = bm25.search(bm25.build(chunks(spark, sf_dir)), questions(spark, sf_dir), 20).withColumnRenamed("chunk_id", "id")
     named = lambda df, name: df.select(F.lit(name).alias("variant"), "query_id", "id", "rank")
     lists = named(vec, "vector").unionByName(named(lex, "bm25")).unionByName(named(fusion.rrf(vec, lex), "hybrid")).where(F.col("rank") <= 10)
@@ -83,7 +81,7 @@ def keywords(spark, sf_dir):
 
 @query("e7_token_efficiency", f"{Q._HITS}, s AS (SELECT query_id, sum(length(text)) AS n FROM hits JOIN chunks ON chunk_id = id GROUP BY 1) SELECT round(avg(length(question) / n), 4) AS token_efficiency FROM questions JOIN s USING (query_id) WHERE n > 0")
 def token_efficiency(spark, sf_dir):
-    from .tables import questions
+    from .tables import questions, stand_ins
 
     hits = Q._hits(spark, sf_dir).join(chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "text"), "id")
     sizes = hits.groupBy("query_id").agg(F.sum(F.length("text")).alias("n")).where("n > 0")

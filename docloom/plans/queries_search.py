@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bm25, fusion, retrieval, vectors as V
 from .queries_index import BM25
 from .registry import query
-from .tables import CHUNKS, QUESTIONS, VECTORS, chunks, literal, literal_sql, questions, table, vectors
+from .tables import CHUNKS, QUESTIONS, VECTORS, chunks, literal, literal_sql, questions, searched, table, vectors
 
 #: The stated block of query vectors.
 BLOCK = "vec_id % 25 = 0"
@@ -89,7 +89,7 @@ l AS (SELECT query_id, chunk_id AS id, rank, score FROM ranked WHERE rank <= 20)
 
 @query("r2_hybrid", f"{_HYBRID} SELECT query_id, id, round(score, 6) AS score, round(vector_score, 6) AS vector_score, rank FROM fused WHERE rank <= 20")
 def hybrid(spark, sf_dir):
-    found = retrieval.hybrid(spark, sf_dir, 20)
+    found = retrieval.hybrid(*searched(spark, sf_dir), 20)
     return found.where("rank <= 20").select("query_id", "id", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), "rank")
 
 
@@ -130,7 +130,7 @@ def back_fill(spark, sf_dir):
 
 @query("r6_retrieve", f"{_HYBRID}, h AS (SELECT query_id, id, filename, fused.rank FROM fused JOIN chunks ON chunk_id = id WHERE fused.rank <= 20) SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY n > 2, rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, filename ORDER BY rank) AS n FROM h)) WHERE rank <= 8")
 def retrieve(spark, sf_dir):
-    return retrieval.retrieve(spark, sf_dir, 8).select("query_id", "id", "rank")
+    return retrieval.retrieve(*searched(spark, sf_dir), 8).select("query_id", "id", "rank")
 
 
 _REPLIES = "(1, '1. first query\n2、second query\nabc'), (2, '[LLM 不可用]'), (3, '  '), (4, '\"quoted query text\"')"

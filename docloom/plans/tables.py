@@ -39,6 +39,21 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("domain"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
+def stand_ins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, embedding) of chunks and (query_id, embedding) of questions: for want of a model, vectors of the given table by their ids."""
+    base = vectors(spark, sf_dir).select("vec_id", "embedding")
+    n = base.count()
+    of_chunk = chunks(spark, sf_dir).select(F.col("chunk_id").alias("vec"), ((F.col("doc_id") * 31 + F.col("pos")) % n).alias("vec_id"))
+    of_question = questions(spark, sf_dir).select("query_id", ((F.col("query_id") * 7) % n).alias("vec_id"))
+    return of_chunk.join(base, "vec_id").select(F.col("vec").alias("vec_id"), "embedding"), of_question.join(base, "vec_id").select("query_id", "embedding")
+
+
+def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What hybrid search takes: chunks, their vectors, questions, their vectors."""
+    of_chunk, of_question = stand_ins(spark, sf_dir)
+    return chunks(spark, sf_dir), of_chunk, questions(spark, sf_dir), of_question
+
+
 VECTORS = "vectors AS (SELECT vec_id, label AS domain, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import shared_dir
+from ..operators.storage import shared_dir
 
 LOG = "timestamp string, question string, answer string, elapsed_seconds double, error string, is_refusal boolean, num_retrieved int, top_k int, trace_id string"
 FEEDBACK = "timestamp string, question string, answer string, rating int, reason string, message_id string"

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import shared_dir
+from ..operators.storage import shared_dir
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
