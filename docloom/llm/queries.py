@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import castore, counts, decontam, html, lines, matroska, mixing, pii, probmin, quality
+from . import brown, castore, counts, decontam, html, lines, matroska, mixing, periods, pii, probmin, quality, whitening
 from .common import label_bucket, table
 
 
@@ -81,8 +83,36 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def echoed(key: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of the contract's tenth of documents: from a place on, which the id's crc32 gives, they repeat with a period. A null id counts as an empty one."""
+    h, n = zlib.crc32(b"" if key is None else str(key).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document's words."""
+    return periods.digest(periods.periodic_runs(table(spark, sf_dir, "documents"), rewrite=echoed))
+
+
+def op12_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log10 probability under the class bigram model, and under smoothed word counts."""
+    return brown.scores(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finite vector on the 16 whitened principal components."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lines, op2_quality, op3_html, op4_pii, op5_matroska, op6_counts, op7_castore, op8_probmin, op9_decontam, op10_mixing)}
+    ops = (op1_lines, op2_quality, op3_html, op4_pii, op5_matroska, op6_counts, op7_castore, op8_probmin, op9_decontam, op10_mixing, op11_periods, op12_brown, op13_whitening)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
