@@ -31,6 +31,15 @@ def tokens(text: Column, pattern: str = MEMORY_TOKENS) -> Column:
 MOST_TERMS = 200_000
 
 
+@dataclass(frozen=True)
+class Asked:
+    """What a search reads of an index: terms (term, df, idf), postings (chunk_id, term, tf, dl) and corpus figures, no more than the asked terms need."""
+
+    terms: DataFrame
+    postings: DataFrame
+    corpus: DataFrame
+
+
 @dataclass(frozen=True)
 class Index:
     """sized (chunk_id, tokens, dl), terms (term, df, idf) and the corpus figures (n_chunks, avgdl)."""
@@ -45,6 +54,9 @@ class Index:
         each = self.sized.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
         return each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
+    def asked(self, terms: DataFrame) -> Asked:
+        return Asked(self.terms, self.postings(terms), self.corpus)
+
 
 def build(chunks: DataFrame, params: Params = Params(), pattern: str = MEMORY_TOKENS, key: str = "chunk_id", text: str = "text") -> Index:
     """Statistics over all chunks; keys are distinct. Terms are counted before they are shuffled."""
@@ -62,10 +74,14 @@ def stored(index: Index) -> Index:
     return Index(materialize(index.sized, "sized"), materialize(index.terms, "terms"), materialize(index.corpus, "corpus"))
 
 
-def score(index: Index, queries: DataFrame, params: Params = Params(), pattern: str = MEMORY_TOKENS) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that shares a term with the query; repeated terms count repeatedly."""
+def score(index, queries: DataFrame, params: Params = Params(), pattern: str = MEMORY_TOKENS) -> DataFrame:
+    """(query_id, chunk_id, score) of every chunk that shares a term with the query; repeated terms count repeatedly.
+
+    ``index`` is one in memory or a ``LexicalStore``: anything with ``asked(terms)``.
+    """
     asked = queries.select("query_id", F.explode(tokens(F.col("question"), pattern)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    matched = asked.join(index.terms, "term").join(index.postings(asked.select("term").distinct()), "term").crossJoin(F.broadcast(index.corpus))
+    held = index.asked(asked.select("term").distinct())
+    matched = asked.join(held.terms, "term").join(held.postings, "term").crossJoin(F.broadcast(held.corpus))  # one row
     norm = params.k1 * (1 - params.b + params.b * F.col("dl") / F.col("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + norm)
     return matched.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
@@ -77,7 +93,7 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(index: Index, queries: DataFrame, k: int, params: Params = Params(), keep_zero: DataFrame | None = None, pattern: str = MEMORY_TOKENS) -> DataFrame:
+def search(index, queries: DataFrame, k: int, params: Params = Params(), keep_zero: DataFrame | None = None, pattern: str = MEMORY_TOKENS) -> DataFrame:
     """The k best chunks of each query. With ``keep_zero`` (the chunks) queries with fewer matches are filled with zero scores."""
     best = top_k(score(index, queries, params, pattern), k)
     if keep_zero is None:

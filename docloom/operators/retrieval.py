@@ -11,17 +11,18 @@ from . import bm25, fusion, vectors as V
 MOST_SENTENCES = 50_000
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, asked: DataFrame, fetch: int, domain: str | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, asked: DataFrame, fetch: int, domain: str | None = None, index=None) -> DataFrame:
     """Fused hits of vector and lexical search, every question against every chunk.
 
     ``chunks`` (chunk_id, text, domain if one is asked for), ``vectors`` (vec_id, which is the chunk's id, and embedding), ``questions``
-    (query_id, question), ``asked`` (query_id, embedding). With ``domain`` only its chunks are searched, by both ways.
+    (query_id, question), ``asked`` (query_id, embedding). With ``domain`` only its chunks are searched, by both ways. ``index`` is a
+    lexical index of all chunks (a ``LexicalStore``, say); without one, or with ``domain``, the chunks given are indexed.
     """
     if domain is not None:
         chunks = chunks.where(F.col("domain") == domain)
         vectors = vectors.join(chunks.select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi")
     vec = V.nearest(vectors, asked, fetch).withColumnRenamed("vec_id", "id")
-    lex = bm25.search(bm25.build(chunks), questions, fetch).withColumnRenamed("chunk_id", "id")
+    lex = bm25.search(index if index is not None and domain is None else bm25.build(chunks), questions, fetch).withColumnRenamed("chunk_id", "id")
     return fusion.rrf(vec, lex)
 
 

@@ -9,11 +9,11 @@ from ..operators import agent, bm25, caches, gates, retrieval
 from .queries_search import _HYBRID
 from .queries_text import QUESTIONS as CASES
 from .registry import query
-from .tables import VECTORS, chunks, documents, literal, literal_sql, questions, searched, table, vectors
+from .tables import VECTORS, chunks, documents, lexical, literal, literal_sql, questions, searched, table, vectors
 
 
 def _hits(spark, sf_dir):
-    found = retrieval.hybrid(*searched(spark, sf_dir), 20).where("rank <= 8")
+    found = retrieval.hybrid(*searched(spark, sf_dir), 20, index=lexical(spark, sf_dir)).where("rank <= 8")
     return found.join(chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "text", "filename"), "id")
 
 
@@ -204,7 +204,7 @@ def plan(spark, sf_dir):
 
 def _search(spark, sf_dir):
     source = chunks(spark, sf_dir)
-    index = bm25.stored(bm25.build(source))
+    index = lexical(spark, sf_dir)
 
     def search(asked):
         found = bm25.search(index, asked, 10)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bm25, chunking
+from ..operators.lexical_store import LexicalStore
+from ..operators.storage import shared_path
 from .registry import query
-from .tables import CHUNKS, QUESTIONS, chunks, documents, literal, literal_sql, questions
+from .tables import CHUNKS, QUESTIONS, chunks, documents, lexical, literal, literal_sql, questions
 
 _TOK = r"regexp_extract_all(lower({0}), '[一-鿿]|[^\s一-鿿]+')"
 _DISK = r"regexp_extract_all(lower({0}), '[\x{{3007}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{20000}}-\x{{2A6DF}}]|[a-zA-Z0-9]+(?:[./_-][a-zA-Z0-9]+)*')"
@@ -36,27 +38,37 @@ def disk_tokens(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", bm25.tokens(F.col("text"), bm25.DISK_TOKENS).alias("tokens"))
 
 
-@query("b3_terms", f"WITH {CHUNKS}, {STATS} SELECT term, df, round(idf, 6) AS idf FROM terms")
+# document frequencies alone: no counts within a chunk are needed
+_TERMS = f"""raw AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOK.format("text")})) AS term FROM chunks) GROUP BY term), (SELECT count(*) AS n FROM chunks))"""
+
+
+@query("b3_terms", f"WITH {CHUNKS}, {_TERMS} SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 6) AS idf FROM raw")
 def terms(spark, sf_dir):
-    return bm25.build(chunks(spark, sf_dir)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical(spark, sf_dir).terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("b4_scores", f"{BM25} SELECT query_id, count(*) AS chunks, round(sum(score), 4) AS total, round(max(score), 4) AS best FROM scores GROUP BY query_id")
 def score(spark, sf_dir):
-    found = bm25.score(bm25.build(chunks(spark, sf_dir)), questions(spark, sf_dir))
+    found = bm25.score(lexical(spark, sf_dir), questions(spark, sf_dir))
     return found.groupBy("query_id").agg(F.count("*").alias("chunks"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 4).alias("best"))
 
 
 @query("b5_top_k", f"{BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 20")
 def top(spark, sf_dir):
-    source = chunks(spark, sf_dir)
-    return bm25.search(bm25.build(source), questions(spark, sf_dir), 20, keep_zero=source).withColumn("score", F.round("score", 6))
+    return bm25.search(lexical(spark, sf_dir), questions(spark, sf_dir), 20, keep_zero=chunks(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query("b6_disk_search", f"WITH {CHUNKS}, {QUESTIONS}, {STATS}, {scores(1.2, 0.75)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
 def disk_search(spark, sf_dir):
-    params = bm25.Params(k1=1.2)
-    return bm25.search(bm25.build(chunks(spark, sf_dir), params), questions(spark, sf_dir), 10, params).withColumn("score", F.round("score", 6))
+    """On the index as upserts, removals and a merge have left it: it starts with old texts and with chunks that go again."""
+    params, source, old = bm25.Params(k1=1.2), chunks(spark, sf_dir).select("chunk_id", "text", "pos"), F.lit("old")
+    store = LexicalStore(spark, shared_path(spark, "lexical"), params=params, blank=True)
+    begun = source.where("pos % 3 <> 1").select("chunk_id", F.when(F.col("pos") % 3 == 0, F.concat_ws(" ", old, "text")).otherwise(F.col("text")).alias("text"))
+    store.index(begun.unionByName(source.where("pos = 0").select(F.concat("chunk_id", old).alias("chunk_id"), "text")))
+    store.index(source.where("pos % 3 <> 2").select("chunk_id", "text"))
+    store.remove(source.where("pos = 0").select(F.concat("chunk_id", old).alias("chunk_id")))
+    store.merge()
+    return bm25.search(store, questions(spark, sf_dir), 10, params).withColumn("score", F.round("score", 6))
 
 
 @query("b7_index_info", f"WITH {CHUNKS} SELECT count(*) AS doc_count, count(*) > 0 AS ready FROM chunks")
@@ -83,6 +95,22 @@ def remove(spark, sf_dir):
     return bm25.remove(source, source.where("doc_id % 3 = 0")).select("chunk_id")
 
 
+_STORED = f"""WITH {CHUNKS}, news AS (SELECT CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'd' || doc_id || '_l' || (pos // 2) END AS chunk_id, CASE WHEN pos = 3 THEN '' ELSE 'new ' || text END AS text, pos AS seq FROM chunks WHERE pos < 4),
+last AS (SELECT chunk_id, max_by(text, seq) AS text FROM news WHERE chunk_id <> '' AND text <> '' GROUP BY chunk_id)"""
+
+
+@query("s12_stored_index", f"{_STORED} SELECT chunk_id, md5(text) AS text FROM (SELECT chunk_id, text FROM chunks WHERE text <> '' AND chunk_id NOT IN (SELECT chunk_id FROM last) UNION ALL SELECT chunk_id, text FROM last) WHERE chunk_id NOT LIKE '%\_l5' ESCAPE '\'")
+def stored_index(spark, sf_dir):
+    """What a stored index holds after an upsert with repeated ids, rows without id or text, and a removal."""
+    source, store = chunks(spark, sf_dir), LexicalStore(spark, shared_path(spark, "lexical"))
+    name = F.concat(F.lit("d"), F.col("doc_id"), F.lit("_l"), F.floor(F.col("pos") / 2))
+    news = source.where("pos < 4").select(F.when(F.col("doc_id") % 7 == 0, "").otherwise(name).alias("chunk_id"), F.when(F.col("pos") == 3, "").otherwise(F.concat(F.lit("new "), "text")).alias("text"), F.col("pos").alias("seq"))
+    store.index(source.select("chunk_id", "text"))
+    store.index(news)
+    store.remove(source.where("pos = 5").select("chunk_id"))
+    return store.chunks().select("chunk_id", F.md5("text").alias("text"))
+
+
 @query("s10_all_chunks", f"WITH {CHUNKS} SELECT chunk_id, text, domain FROM chunks")
 def all_chunks(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", "text", "domain")

@@ -54,10 +54,10 @@ _METRIC = "round(CAST(avg(CAST(first IS NOT NULL AS INT)) AS DOUBLE), 4) AS hit_
 def ablation(spark, sf_dir):
     """The same questions through vector, lexical and fused lists."""
     from ..operators import bm25, vectors as V
-    from .tables import questions, stand_ins
+    from .tables import lexical, questions, stand_ins
 
     vec = V.nearest(*stand_ins(spark, sf_dir), 20).withColumnRenamed("vec_id", "id")
-    lex = bm25.search(bm25.build(chunks(spark, sf_dir)), questions(spark, sf_dir), 20).withColumnRenamed("chunk_id", "id")
+    lex = bm25.search(lexical(spark, sf_dir), questions(spark, sf_dir), 20).withColumnRenamed("chunk_id", "id")
     named = lambda df, name: df.select(F.lit(name).alias("variant"), "query_id", "id", "rank")
     lists = named(vec, "vector").unionByName(named(lex, "bm25")).unionByName(named(fusion.rrf(vec, lex), "hybrid")).where(F.col("rank") <= 10)
     files = lists.join(chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "filename"), "id")

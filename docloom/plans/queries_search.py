@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bm25, fusion, retrieval, vectors as V
 from .queries_index import BM25
 from .registry import query
-from .tables import CHUNKS, QUESTIONS, VECTORS, chunks, literal, literal_sql, questions, searched, table, vectors
+from .tables import CHUNKS, QUESTIONS, VECTORS, chunks, lexical, literal, literal_sql, questions, searched, table, vectors
 
 #: The stated block of query vectors.
 BLOCK = "vec_id % 25 = 0"
@@ -89,7 +89,7 @@ l AS (SELECT query_id, chunk_id AS id, rank, score FROM ranked WHERE rank <= 20)
 
 @query("r2_hybrid", f"{_HYBRID} SELECT query_id, id, round(score, 6) AS score, round(vector_score, 6) AS vector_score, rank FROM fused WHERE rank <= 20")
 def hybrid(spark, sf_dir):
-    found = retrieval.hybrid(*searched(spark, sf_dir), 20)
+    found = retrieval.hybrid(*searched(spark, sf_dir), 20, index=lexical(spark, sf_dir))
     return found.where("rank <= 20").select("query_id", "id", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), "rank")
 
 
@@ -114,7 +114,7 @@ _HITS = f"{BM25}, hits AS (SELECT query_id, chunk_id AS id, filename, rank FROM
 
 def _hits(spark, sf_dir, k=20):
     source = chunks(spark, sf_dir)
-    found = bm25.search(bm25.build(source), questions(spark, sf_dir), k)
+    found = bm25.search(lexical(spark, sf_dir), questions(spark, sf_dir), k)
     return found.join(source.select("chunk_id", "filename", "text", "domain", "doc_id", "pos"), "chunk_id").withColumnRenamed("chunk_id", "id")
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lexical_store import LexicalStore
+from ..operators.storage import shared_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,6 +57,19 @@ def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return chunks(spark, sf_dir), of_chunk, questions(spark, sf_dir), of_question
 
 
+_STORES: dict[tuple[str, str], LexicalStore] = {}
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> LexicalStore:
+    """The stored index of all chunks: written by the first query of an application that searches them, read by the others."""
+    where = (spark.sparkContext.applicationId, sf_dir)
+    if where not in _STORES:
+        store = LexicalStore(spark, shared_path(spark, "lexical"), blank=True)
+        store.rebuild(chunks(spark, sf_dir))
+        _STORES[where] = store
+    return _STORES[where]
+
+
 VECTORS = "vectors AS (SELECT vec_id, label AS domain, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"
 
 
