@@ -62,7 +62,7 @@ def top(spark, sf_dir):
 def disk_search(spark, sf_dir):
     """On the index as upserts, removals and a merge have left it: it starts with old texts and with chunks that go again."""
     params, source, old = bm25.Params(k1=1.2), chunks(spark, sf_dir).select("chunk_id", "text", "pos"), F.lit("old")
-    store = LexicalStore(spark, shared_path(spark, "lexical"), params=params, blank=True)
+    store = LexicalStore(spark, shared_path(spark, "lexical"), params=params, blank=True, buckets=8)
     begun = source.where("pos % 3 <> 1").select("chunk_id", F.when(F.col("pos") % 3 == 0, F.concat_ws(" ", old, "text")).otherwise(F.col("text")).alias("text"))
     store.index(begun.unionByName(source.where("pos = 0").select(F.concat("chunk_id", old).alias("chunk_id"), "text")))
     store.index(source.where("pos % 3 <> 2").select("chunk_id", "text"))
@@ -99,10 +99,10 @@ _STORED = f"""WITH {CHUNKS}, news AS (SELECT CASE WHEN doc_id % 7 = 0 THEN '' EL
 last AS (SELECT chunk_id, max_by(text, seq) AS text FROM news WHERE chunk_id <> '' AND text <> '' GROUP BY chunk_id)"""
 
 
-@query("s12_stored_index", f"{_STORED} SELECT chunk_id, md5(text) AS text FROM (SELECT chunk_id, text FROM chunks WHERE text <> '' AND chunk_id NOT IN (SELECT chunk_id FROM last) UNION ALL SELECT chunk_id, text FROM last) WHERE chunk_id NOT LIKE '%\_l5' ESCAPE '\'")
+@query("s12_stored_index", f"{_STORED} SELECT chunk_id, md5(text) AS text FROM (SELECT chunk_id, text FROM chunks WHERE text <> '' AND chunk_id NOT IN (SELECT chunk_id FROM last) UNION ALL SELECT chunk_id, text FROM last) WHERE NOT ends_with(chunk_id, '_l5')")
 def stored_index(spark, sf_dir):
     """What a stored index holds after an upsert with repeated ids, rows without id or text, and a removal."""
-    source, store = chunks(spark, sf_dir), LexicalStore(spark, shared_path(spark, "lexical"))
+    source, store = chunks(spark, sf_dir), LexicalStore(spark, shared_path(spark, "lexical"), buckets=8)
     name = F.concat(F.lit("d"), F.col("doc_id"), F.lit("_l"), F.floor(F.col("pos") / 2))
     news = source.where("pos < 4").select(F.when(F.col("doc_id") % 7 == 0, "").otherwise(name).alias("chunk_id"), F.when(F.col("pos") == 3, "").otherwise(F.concat(F.lit("new "), "text")).alias("text"), F.col("pos").alias("seq"))
     store.index(source.select("chunk_id", "text"))
