@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import needs_rewrite
 from . import bm25, fusion, vectors as V
 
-#: Sentences up to which they are broadcast for a containment search.
-MOST_SENTENCES = 50_000
-
-
 def hybrid(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, asked: DataFrame, fetch: int, domain: str | None = None, index=None) -> DataFrame:
     """Fused hits of vector and lexical search, every question against every chunk.
 
@@ -36,6 +33,48 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, asked:
     return fusion.diversified(named, most_per_doc, k)
 
 
+def rewritten(questions: DataFrame, replies: DataFrame) -> DataFrame:
+    """(query_id, question, variant, text, out_of_domain): what is searched for each question, variant 0 first.
+
+    Questions that pass the rewrite gate are looked up in ``replies`` (query_id, reply), what a model has answered. A reply that only repeats the
+    question marks it as out of domain; one that can't be used, or none, leaves the question alone; else the question goes first, its rewrites
+    follow. ``out_of_domain`` is null where the gate asked for no rewrite.
+    """
+    gated = questions.withColumn("gated", needs_rewrite(F.col("question"))).join(replies, "query_id", "left").withColumn("parsed", parsed_rewrites(F.col("reply")))
+    same = (F.size("parsed") == 1) & (F.trim(F.col("parsed")[0]) == F.trim(F.col("question")))
+    alone = F.array("question")
+    texts = F.when(~F.col("gated") | F.col("parsed").isNull() | same, alone).when(F.col("parsed")[0] == F.col("question"), F.col("parsed")).otherwise(F.concat(alone, F.col("parsed")))
+    ood = F.when(F.col("gated"), F.coalesce(same, F.lit(False)))
+    return gated.select("query_id", "question", ood.alias("out_of_domain"), F.posexplode(texts).alias("variant", "text"))
+
+
+def served(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, embed, k: int, replies: DataFrame | None = None, most_per_doc: int = 2, domain: str | None = None, index=None, scorer=None) -> DataFrame:
+    """(query_id, id, rank, out_of_domain): retrieval as it is served, all questions at once.
+
+    With ``replies`` (a model's answers to the rewrite prompt, as far as it was asked) each question's variants are searched by both ways, their lists fused with the
+    question's own weighing more, reranked against the question itself by ``scorer`` if there is one, diversified, and cut to k. Without a model there is vector
+    search alone over 2 k hits. ``embed`` turns (query_id, text) into (query_id, embedding).
+    """
+    named = chunks.select(F.col("chunk_id").alias("id"), "filename", "text")
+    if replies is None:
+        if domain is not None:
+            vectors = vectors.join(chunks.where(F.col("domain") == domain).select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi")
+        found = V.nearest(vectors, embed(questions.select("query_id", F.col("question").alias("text"))), 2 * k).withColumnRenamed("vec_id", "id")
+        return fusion.diversified(found.join(named.drop("text"), "id"), most_per_doc, k).select("query_id", "id", "rank", F.lit(None).cast("boolean").alias("out_of_domain"))
+    fetch = max(2 * k, 20)
+    asked = rewritten(questions, replies)
+    # a variant is searched under an id of its own
+    each = asked.withColumn("search_id", F.to_json(F.struct("query_id", "variant")))
+    searched = each.select(F.col("search_id").alias("query_id"), "text")
+    hits = hybrid(chunks, vectors, searched.withColumnRenamed("text", "question"), embed(searched), fetch, domain, index).where(F.col("rank") <= fetch)
+    lists = hits.select(F.col("query_id").alias("search_id"), "id", "rank").join(each, "search_id").select("query_id", "variant", "id", "rank")
+    fused = fusion.weighted_rrf(lists).where(F.col("rank") <= fetch).join(named, "id")
+    if scorer is not None:
+        fused = fusion.reranked(fused.join(questions, "query_id"), scorer, fetch)
+    state = asked.where("variant = 0").select("query_id", "out_of_domain")
+    return fusion.diversified(fused, most_per_doc, k).join(state, "query_id").select("query_id", "id", "rank", "out_of_domain")
+
+
 def parsed_rewrites(reply: Column) -> Column:
     """One to a few queries from a model's reply: numbering and quotes off, four characters at least; null if it has failed."""
     lines = F.transform(F.split(F.trim(reply), "\n"), lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.trim(s), r"^\d+[.、\)\s]+", "")), "^[\"']+|[\"']+$", ""))
@@ -79,24 +118,3 @@ def variants(questions: DataFrame, hits: DataFrame, first: int = 10, most: int =
     best = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
     added = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]), " ")
     return best.groupBy("query_id").agg(added.alias("added")).join(questions, "query_id").select("query_id", F.concat_ws(" ", "question", "added").alias("variant"))
-
-
-def gold_lookup(sentences: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id, how): documents that contain a sentence, white space aside; else those with its first 30 characters.
-
-    Sentences are a stated query set: they go in broadcast blocks of bounded number against all documents.
-    """
-    solid = lambda c: F.regexp_replace(c, r"\s+", "")
-    asked = sentences.select("item_id", solid(F.col("sentence")).alias("s"))
-    texts = docs.select("doc_id", solid(F.col("text")).alias("t"))
-    blocks = -(-asked.count() // MOST_SENTENCES)
-    out = None
-    for i in range(max(1, blocks)):
-        block = F.broadcast(asked.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))) == i))
-        exact = texts.join(block, F.col("t").contains(F.col("s"))).select("item_id", "doc_id", F.lit("exact").alias("how"))
-        head = F.substring("s", 1, 30)
-        left = block.join(exact.select("item_id").distinct(), "item_id", "left_anti")
-        near = texts.join(F.broadcast(left), F.col("t").contains(head) & (F.length(head) >= 8)).select("item_id", "doc_id", F.lit("prefix").alias("how"))
-        both = exact.unionByName(near)
-        out = both if out is None else out.unionByName(both)
-    return out

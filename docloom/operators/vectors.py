@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,19 +81,13 @@ def block_hits(vectors: DataFrame, keys: list, matrix: np.ndarray, k: int, itsel
     return vectors.select("vec_id", "embedding").mapInArrow(run, schema)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, itself: bool = True) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k vectors of greatest inner product, ties (to nine decimals) by id.
-
-    Queries are a stated set. They are brought to the driver and sent out ``QUERY_BLOCK`` at a time; a task keeps k hits a query, and only
-    these are shuffled. Without ``itself`` a query doesn't find the vector of its own id. Null vectors are skipped; vectors have one length.
-    """
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())])
-    whole = vectors.where("vec_id is not null and embedding is not null")
+def in_blocks(queries: DataFrame, schema: T.StructType, each: Callable[[list, np.ndarray], DataFrame]) -> DataFrame:
+    """What ``each(ids, matrix)`` finds for every block of queries (query_id, embedding), all together; queries without a vector find nothing."""
     out, keys, block = None, [], []
 
     def flush() -> None:
         nonlocal out, keys, block
-        hits = block_hits(whole, keys, np.array(block, dtype=float), k, itself, schema)
+        hits = each(keys, np.array(block, dtype=float))
         out = hits if out is None else out.unionByName(hits)
         keys, block = [], []
 
@@ -104,8 +98,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, itself: bool = True)
             flush()
     if keys:
         flush()
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    return out if out is not None else queries.sparkSession.createDataFrame([], schema)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, itself: bool = True) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k vectors of greatest inner product, ties (to nine decimals) by id.
+
+    Queries are a stated set. They are brought to the driver and sent out ``QUERY_BLOCK`` at a time; a task keeps k hits a query, and only
+    these are shuffled. Without ``itself`` a query doesn't find the vector of its own id. Null vectors are skipped; vectors have one length.
+    """
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())])
+    whole = vectors.where("vec_id is not null and embedding is not null")
+    out = in_blocks(queries, schema, lambda keys, matrix: block_hits(whole, keys, matrix, k, itself, schema))
     return out.withColumn("rank", F.row_number().over(order_by("query_id", "vec_id"))).where(F.col("rank") <= k)
 
 
@@ -117,24 +121,3 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None
 def sampled(vectors: DataFrame, n: int) -> DataFrame:
     """(cell, embedding): at most n of the vectors as centres, chosen by a hash of their ids."""
     return vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select(F.col("vec_id").alias("cell"), "embedding")
-
-
-def cells(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """Vectors with the id of their nearest centre: (vec_id, embedding, cell). Centres are few (nlist rows)."""
-    near = vectors.join(F.broadcast(centres.select("cell", F.col("embedding").alias("centre"))))
-    best = near.groupBy("vec_id").agg(F.max_by("cell", dot(F.col("embedding"), F.col("centre"))).alias("cell"))
-    return vectors.join(best, "vec_id")
-
-
-def probe(queries: DataFrame, centres: DataFrame, nprobe: int) -> DataFrame:
-    """(query_id, query, cell): the cells that each query looks into."""
-    near = queries.select("query_id", F.col("embedding").alias("query")).join(F.broadcast(centres.select("cell", F.col("embedding").alias("centre"))))
-    order = Window.partitionBy("query_id").orderBy(dot(F.col("query"), F.col("centre")).desc(), F.col("cell"))
-    return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= nprobe).select("query_id", "query", "cell")
-
-
-def search_cells(celled: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """Approximate search: vectors of the probed cells only, by an equi-join on the cell."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    met = celled.join(probes, "cell").where("query_id <> vec_id").select("query_id", "vec_id", dot(F.col("embedding"), F.col("query")).alias("score"))
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

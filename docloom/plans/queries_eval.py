@@ -25,7 +25,7 @@ def _hits(spark, sf_dir, k=10):
 
 
 def _gold(spark, sf_dir):
-    from ..operators.retrieval import gold_lookup
+    from ..operators.containment import gold_lookup
 
     found = gold_lookup(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("sentence")), table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.where("how = 'exact'").select(F.col("item_id").alias("query_id"), F.concat(F.lit("d"), F.col("doc_id")).alias("filename"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bm25, chunking
 from ..operators.lexical_store import LexicalStore
 from ..operators.storage import shared_path
+from ..sources.collections import Collections
 from .registry import query
 from .tables import CHUNKS, QUESTIONS, chunks, documents, lexical, literal, literal_sql, questions
 
@@ -113,12 +114,42 @@ def stored_index(spark, sf_dir):
 
 @query("s10_all_chunks", f"WITH {CHUNKS} SELECT chunk_id, text, domain FROM chunks")
 def all_chunks(spark, sf_dir):
-    return chunks(spark, sf_dir).select("chunk_id", "text", "domain")
+    found = Collections(spark, shared_path(spark, "kb"))
+    found.create("kb")
+    found.add_chunks("kb", chunks(spark, sf_dir).select("chunk_id", "text", "domain"))
+    return found.chunks("kb").select("chunk_id", "text", "domain")
+
+
+_BATCHED = f"""WITH {CHUNKS}, c AS (SELECT 'd' || doc_id || '_l' || pos % 4 AS chunk_id, doc_id % 20 AS batch, doc_id * 1000000 + pos AS place, text, pos FROM chunks),
+good AS (SELECT chunk_id, arg_max(text, (batch, place)) AS text FROM c WHERE batch <> 7 GROUP BY chunk_id)"""
+
+
+@query("s9_add_chunks", f"{_BATCHED} SELECT chunk_id, md5(text) AS text FROM good UNION ALL SELECT 'd' || doc_id || '_l' || pos, md5('old ' || text) FROM chunks WHERE pos < 6 AND 'd' || doc_id || '_l' || pos NOT IN (SELECT chunk_id FROM good)")
+def add_chunks(spark, sf_dir):
+    """Lines go in by batches onto what is there: ids repeat, and one batch of twenty has a null text and is left out whole."""
+    found, source = Collections(spark, shared_path(spark, "kb")), chunks(spark, sf_dir)
+    found.create("kb")
+    found.add_chunks("kb", source.where("pos < 6").select("chunk_id", F.concat(F.lit("old "), "text").alias("text")))
+    rows = source.select(F.concat(F.lit("d"), F.col("doc_id"), F.lit("_l"), F.col("pos") % 4).alias("chunk_id"), (F.col("doc_id") % 20).alias("batch"), (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("place"), F.when((F.col("doc_id") % 20 == 7) & (F.col("pos") == 0), F.lit(None)).otherwise(F.col("text")).alias("text"))
+    found.add_chunks("kb", rows)
+    return found.chunks("kb").select("chunk_id", F.md5("text").alias("text"))
+
+
+@query("s9_batches", f"{_BATCHED} SELECT batch, count(*) AS rows, CASE WHEN batch = 7 THEN 'no text' END AS error FROM c GROUP BY batch")
+def batches(spark, sf_dir):
+    """The report of the batches: which went in, which didn't and why."""
+    found = Collections(spark, shared_path(spark, "kb"))
+    found.create("kb")
+    text = F.when((F.col("doc_id") % 20 == 7) & (F.col("pos") == 0), F.lit(None)).otherwise(F.col("text"))
+    return found.add_chunks("kb", chunks(spark, sf_dir).select("chunk_id", (F.col("doc_id") % 20).alias("batch"), text.alias("text")))
 
 
 @query("s11_count", "SELECT lang AS domain, count(*) AS documents FROM documents GROUP BY lang")
 def count(spark, sf_dir):
-    return documents(spark, sf_dir).groupBy(F.col("lang").alias("domain")).agg(F.count("*").alias("documents"))
+    found = Collections(spark, shared_path(spark, "kb"))
+    found.create("kb")
+    found.add_chunks("kb", documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("domain")))
+    return found.chunks("kb").groupBy("domain").agg(F.count("*").alias("documents"))
 
 
 # chunking --------------------------------------------------------------------------------------

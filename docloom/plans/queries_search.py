@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..operators import bm25, fusion, retrieval, vectors as V
-from .queries_index import BM25
+from ..operators import bm25, containment, fusion, retrieval, vectors as V
+from ..operators.cells import CellIndex
+from ..operators.score_store import ScoreStore
+from ..operators.storage import shared_path
+from .queries_index import BM25, STATS, scores
 from .registry import query
 from .tables import CHUNKS, QUESTIONS, VECTORS, chunks, lexical, literal, literal_sql, questions, searched, table, vectors
 
@@ -37,11 +42,10 @@ def search_filtered(spark, sf_dir):
 
 @query("v2_cells")
 def cells(spark, sf_dir):
-    """Approximate search over cells; the centres are a bounded sample of the vectors. These have no clusters, so recall@10 of 0.9 takes most of the cells."""
-    rows = vectors(spark, sf_dir)
-    centres = V.sampled(rows, 16)
-    celled = V.cells(rows.select("vec_id", "embedding"), centres)
-    return V.search_cells(celled, V.probe(_asked(spark, sf_dir), centres, 14), 10)
+    """Approximate search over the stored cell index. The given vectors have no clusters, so recall@10 of 0.9 takes most of the cells."""
+    index = CellIndex(spark, shared_path(spark, "cells"))
+    index.build(vectors(spark, sf_dir).select("vec_id", "embedding"), nlist=16)
+    return index.search(_asked(spark, sf_dir), 10, nprobe=14, itself=False)
 
 
 @query("v3_cosine", f"WITH {_SEARCH} SELECT query_id, round(avg(list_cosine_similarity(v.embedding, a.query)), 6) AS mean FROM vectors v, asked a WHERE vec_id <> query_id GROUP BY query_id")
@@ -133,6 +137,40 @@ def retrieve(spark, sf_dir):
     return retrieval.retrieve(*searched(spark, sf_dir), 8).select("query_id", "id", "rank")
 
 
+_LEXICAL = r"""CAST(len(list_intersect(regexp_extract_all(lower(question), '\w+'), regexp_extract_all(lower(text), '\w+'))) AS DOUBLE) / greatest(len(list_distinct(regexp_extract_all(lower(question), '\w+'))), 1)"""
+
+# Served retrieval: a third of the questions has two rewrites, a third a reply that repeats it, a third none.
+_REPLY = "CASE query_id % 3 WHEN 0 THEN '1. ' || substr(question, 1, 40) || chr(10) || '2) ' || substr(question, 21, 60) WHEN 1 THEN question END"
+_SERVED = f"""WITH {CHUNKS}, {QUESTIONS.replace("questions AS", "base AS")}, texts AS (SELECT query_id, question, CASE query_id % 3 WHEN 0 THEN [question, trim(substr(question, 1, 40)), trim(substr(question, 21, 60))] ELSE [question] END AS t FROM base),
+questions AS (SELECT query_id * 10 + generate_subscripts(t, 1) - 1 AS query_id, unnest(t) AS question FROM texts), {STATS}, {scores(1.5, 0.75)}, {VECTORS}, nv AS (SELECT count(*) AS n FROM vectors),
+cv AS (SELECT chunk_id, embedding FROM chunks JOIN vectors ON vec_id = (doc_id * 31 + pos) % (SELECT n FROM nv)),
+qv AS (SELECT query_id, embedding AS query FROM questions JOIN vectors ON vec_id = ((query_id // 10) * 7 + (query_id % 10) * 13) % (SELECT n FROM nv)),
+vs AS (SELECT query_id, chunk_id AS id, list_inner_product(embedding, query) AS score FROM cv, qv),
+v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM vs) WHERE rank <= 20),
+l AS (SELECT query_id, chunk_id AS id, rank, score FROM ranked WHERE rank <= 20), {_FUSED},
+w AS (SELECT query_id // 10 AS query_id, id, sum(CASE WHEN query_id % 10 = 0 THEN 1.5 ELSE 1.0 END / (60 + rank)) AS score FROM fused WHERE rank <= 20 GROUP BY 1, 2),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM w) WHERE place <= 20),
+s AS (SELECT h.query_id, h.id, filename, row_number() OVER (PARTITION BY h.query_id ORDER BY round({_LEXICAL}, 4) DESC, place) AS rank FROM h JOIN chunks ON chunk_id = h.id JOIN base b ON b.query_id = h.query_id),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, filename ORDER BY rank) AS n FROM s)
+SELECT query_id, id, rank, query_id % 3 = 1 AS out_of_domain FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY n > 2, rank) AS rank FROM d) WHERE rank <= 8""".replace(r"\w", "[a-z0-9_]")
+
+
+@query("r6_served", _SERVED)
+def served(spark, sf_dir):
+    """The whole served retrieval: rewrite gate, a model's rewrites, both searches, weighted fusion, reranking, diversity, out-of-domain state."""
+    source, of_chunk, asked, _ = searched(spark, sf_dir)
+    base = vectors(spark, sf_dir).select("vec_id", "embedding")
+    n = base.count()
+
+    def embed(texts):
+        of = F.from_json("query_id", "query_id long, variant long")
+        at = texts.select("query_id", ((of["query_id"] * 7 + of["variant"] * 13) % n).alias("vec_id"))
+        return at.join(base, "vec_id").select("query_id", "embedding")
+
+    replies = asked.select("query_id", F.expr(_REPLY).alias("reply"))
+    return retrieval.served(source, of_chunk, asked, embed, 8, replies, index=lexical(spark, sf_dir), scorer=fusion.lexical_scorer)
+
+
 _REPLIES = "(1, '1. first query\n2、second query\nabc'), (2, '[LLM 不可用]'), (3, '  '), (4, '\"quoted query text\"')"
 _REPLIES_SQL = _REPLIES.replace("\n", "' || chr(10) || '")
 
@@ -144,7 +182,6 @@ def rewrites(spark, sf_dir):
     return rows.select("id", retrieval.parsed_rewrites(F.col("reply")).alias("queries"))
 
 
-_LEXICAL = r"""CAST(len(list_intersect(regexp_extract_all(lower(question), '\w+'), regexp_extract_all(lower(text), '\w+'))) AS DOUBLE) / greatest(len(list_distinct(regexp_extract_all(lower(question), '\w+'))), 1)"""
 
 
 @query("r8_rerank", f"{_HITS}, s AS (SELECT query_id, hits.id, hits.rank AS place, round(({_LEXICAL}), 4) AS rerank_score FROM hits JOIN chunks ON chunk_id = hits.id JOIN questions USING (query_id) WHERE hits.rank <= 16) SELECT query_id, id, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, place) AS rank FROM s) WHERE rank <= 5".replace(r"\w", "[a-z0-9_]"))
@@ -153,9 +190,33 @@ def rerank(spark, sf_dir):
     return fusion.reranked(hits, fusion.lexical_scorer, 5, 16).select("query_id", "id", "rerank_score", "rank")
 
 
+def lexical_scores(asked: list[str], texts: list[str]) -> list[float]:
+    """A stand-in for a reranking model, in batches: the share of the question's words that the text has."""
+    words = [[set(re.findall(r"[a-z0-9_]+", s.lower())) for s in rows] for rows in (asked, texts)]
+    return [len(a & b) / max(1, len(a)) for a, b in zip(*words, strict=True)]
+
+
 @query("r9_scored_once", f"{_HITS} SELECT count(*) AS hits, count(DISTINCT (query_id, id)) AS pairs FROM hits")
 def scored_once(spark, sf_dir):
-    return _hits(spark, sf_dir).agg(F.count("*").alias("hits"), F.countDistinct("query_id", "id").alias("pairs"))
+    """All hits are reranked twice: the scorer is asked for each pair once."""
+    store = ScoreStore(spark, shared_path(spark, "scores"), lexical_scores)
+    hits = _hits(spark, sf_dir).join(questions(spark, sf_dir).withColumn("question", F.concat_ws(" ", "query_id", "question")), "query_id").select("query_id", "id", "question", "text", "rank")
+    for _ in range(2):
+        found = store.scored(hits)
+    return found.where("rerank_score is not null").agg(F.count("*").alias("hits")).withColumn("pairs", F.lit(store.count()).cast("long"))
+
+
+_STORED = f"""{_HITS}, s AS (SELECT query_id, hits.id, hits.rank AS place, round(({_LEXICAL}), 4) AS rerank_score FROM hits JOIN chunks ON chunk_id = hits.id JOIN questions USING (query_id))
+SELECT query_id, id, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, place) AS rank FROM s) WHERE rank <= 5"""
+
+
+@query("r9_score_store", _STORED.replace(r"\w", "[a-z0-9_]"))
+def score_store(spark, sf_dir):
+    """Reranking from the store: half of the pairs have their score from a call before."""
+    store = ScoreStore(spark, shared_path(spark, "scores"), lexical_scores)
+    hits = _hits(spark, sf_dir).join(questions(spark, sf_dir), "query_id").select("query_id", "id", "question", "text", "rank")
+    store.scored(hits.where("rank % 2 = 0"))
+    return store.reranked(hits, 5).select("query_id", "id", F.round("rerank_score", 4).alias("rerank_score"), "rank")
 
 
 @query("r10_rerank_reply")
@@ -215,4 +276,4 @@ def tag_filter(spark, sf_dir):
 
 @query("r18_gold", r"WITH q AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS s FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents), e AS (SELECT item_id, doc_id, 'exact' AS how FROM q, d WHERE contains(t, s)), f AS (SELECT item_id, doc_id, 'prefix' FROM q, d WHERE length(substr(s, 1, 30)) >= 8 AND contains(t, substr(s, 1, 30)) AND item_id NOT IN (SELECT item_id FROM e)) SELECT * FROM e UNION ALL SELECT * FROM f")
 def gold(spark, sf_dir):
-    return retrieval.gold_lookup(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("sentence")), table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return containment.gold_lookup(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("sentence")), table(spark, sf_dir, "documents").select("doc_id", "text"))
