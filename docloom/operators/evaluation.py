@@ -209,6 +209,22 @@ def latency(log: DataFrame) -> DataFrame:
     return log.agg(F.round(F.avg("seconds"), 4).alias("avg"), F.round(F.percentile("seconds", F.lit(0.95)), 4).alias("p95"), F.round(F.max("seconds"), 4).alias("max"))
 
 
+#: Sketches of latencies: entries a level, and the error in rank that a quantile of them has at most with 99 % certainty.
+SKETCH_SIZE, RANK_ERROR = 400, 0.007
+
+
+def latency_sketches(log: DataFrame, *by: str) -> DataFrame:
+    """A mergeable record of a group's seconds: (by, n, total, longest, sketch). Its size doesn't grow with the group."""
+    rows = log.where(F.col("seconds").isNotNull())
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("seconds").alias("total"), F.max("seconds").alias("longest"), F.kll_sketch_agg_double("seconds", F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def merged_latency(sketches: DataFrame, *by: str, share: float = 0.95) -> DataFrame:
+    """(by, n, avg, max, quantile) of records put together: the quantile's rank is within ``RANK_ERROR`` of the share."""
+    whole = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("longest").alias("max"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_SIZE)).alias("sketch"))
+    return whole.select(*by, "n", (F.col("total") / F.col("n")).alias("avg"), "max", F.kll_sketch_get_quantile_double("sketch", F.lit(share)).alias("quantile"))
+
+
 def keyword_hit_rate(answer: Column, keywords: Column) -> Column:
     """The share of expected keywords that an answer has, in any case of letters; 0 without keywords."""
     found = F.filter(keywords, lambda k: F.contains(F.lower(answer), F.lower(k)))

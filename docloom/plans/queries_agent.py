@@ -257,9 +257,58 @@ def lru(spark, sf_dir):
 # streams ---------------------------------------------------------------------------------------
 
 
-@query("w1_directory_watcher", "SELECT filename, length(text) AS chars FROM (VALUES ('a.txt', 'first file'), ('b.txt', 'second')) AS t(filename, text)")
-def watcher(spark, sf_dir):
-    """Files of a watched folder, each taken up once over two runs of the stream."""
-    from ..streaming.watcher import demo
+@query("w1_directory_watcher", "SELECT 'd' || doc_id || '.txt' AS filename, length(text) AS chars FROM documents WHERE text IS NOT NULL")
+def watched(spark, sf_dir):
+    """Documents arrive in a watched folder as files, in two lots; each is taken up once over three runs of the stream."""
+    from ..operators.storage import shared_path
+    from ..sources.document_files import write_files
+    from ..streaming import watcher
 
-    return demo(spark)
+    base = shared_path(spark, "watch")
+    files = documents(spark, sf_dir).where("text is not null").select("doc_id", F.concat(F.lit("d"), F.col("doc_id"), F.lit(".txt")).alias("relative"), F.col("text").alias("content"))
+    others = files.where("doc_id % 10 = 0").withColumn("relative", F.concat("relative", F.lit(".docx")))
+    for lot in (files.where("doc_id % 2 = 0").unionByName(others), files.where("doc_id % 2 = 1"), files.limit(0)):
+        write_files(lot, f"{base}/in")
+        watcher.ingest(watcher.read(spark, f"{base}/in", max_files=100_000), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("filename", F.length("text").alias("chars"))
+
+
+# files: documents as text, one in fifty of them broken, one of a kind that isn't known, one a PDF without a reader
+_FILES = """SELECT 'd' || doc_id || CASE doc_id % 50 WHEN 9 THEN '.docx' WHEN 11 THEN '.pdf' ELSE '.txt' END AS filename, CASE WHEN doc_id % 3 = 0 THEN 'general' ELSE lang END AS domain,
+CASE doc_id % 50 WHEN 9 THEN 'docx' WHEN 11 THEN 'pdf' ELSE 'txt' END AS file_type, CASE WHEN doc_id % 50 NOT IN (7, 9, 11) THEN md5(text) END AS text, CASE doc_id % 50 WHEN 7 THEN 'UnicodeDecodeError' WHEN 9 THEN 'ValueError' WHEN 11 THEN 'ValueError' END AS error FROM documents WHERE text IS NOT NULL"""
+
+
+def _files(spark, sf_dir):
+    from ..operators.storage import shared_path
+    from ..sources.document_files import write_files
+
+    n = F.col("doc_id") % 50
+    name = F.concat(F.lit("d"), F.col("doc_id"), F.when(n == 9, ".docx").when(n == 11, ".pdf").otherwise(".txt"))
+    content = F.when(n == 7, F.concat(F.unhex(F.lit("FF")), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
+    folder = shared_path(spark, "files")
+    write_files(documents(spark, sf_dir).where("text is not null").select(F.when(F.col("doc_id") % 3 == 0, name).otherwise(F.concat_ws("/", "lang", name)).alias("relative"), content.alias("content")), folder)
+    return folder
+
+
+def _loaded(df):
+    return df.select("filename", "domain", "file_type", F.md5("full_text").alias("text"), F.regexp_extract("error", "^[A-Za-z]+", 0).alias("error"))
+
+
+@query("s7_load_files", _FILES)
+def load_files(spark, sf_dir):
+    """A folder of documents through the file source: bad files have a row with their error."""
+    from ..sources import document_files
+
+    return _loaded(document_files.load(spark, _files(spark, sf_dir)))
+
+
+@query("s7_file_stream", _FILES)
+def file_stream(spark, sf_dir):
+    """The same folder as a stream that is run twice."""
+    from ..operators.storage import shared_path
+    from ..sources import document_files
+
+    folder, base = _files(spark, sf_dir), shared_path(spark, "files-stream")
+    for _ in range(2):
+        document_files.stream(spark, folder).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return _loaded(spark.read.parquet(f"{base}/out"))

@@ -179,6 +179,32 @@ def latency(spark, sf_dir):
     return E.latency(_log(spark, sf_dir))
 
 
+@query("e29_latency_days", "SELECT event_type, count(*) AS n, round(avg(value), 4) AS avg, round(max(value), 4) AS max, true AS within FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def latency_days(spark, sf_dir):
+    """Each event type's p95 from sketches of its days; whether its true rank is within the stated error is counted over all events."""
+    log = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("date"), F.col("value").alias("seconds"))
+    found = E.merged_latency(E.latency_sketches(log, "event_type", "date"), "event_type")
+    less = log.join(F.broadcast(found.select("event_type", "quantile")), "event_type").groupBy("event_type").agg(F.avg((F.col("seconds") < F.col("quantile")).cast("double")).alias("below"), F.avg((F.col("seconds") <= F.col("quantile")).cast("double")).alias("upto"))
+    within = (F.col("below") <= 0.95 + E.RANK_ERROR) & (F.col("upto") >= 0.95 - E.RANK_ERROR)
+    return found.join(less, "event_type").select("event_type", "n", F.round("avg", 4).alias("avg"), F.round("max", 4).alias("max"), within.alias("within"))
+
+
+@query("s13_log_sink", "SELECT event_type, count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 4) AS seconds, max(value) AS longest, count(*) AS entries, sum(length(substr(props, 1, 200))) AS characters FROM events GROUP BY event_type")
+def log_sink(spark, sf_dir):
+    """Events go through the sink as a stream, and the stream once more from its start: entries and statistics are those of one."""
+    from ..operators.storage import shared_path
+    from ..streaming.log_sink import LogSink
+
+    # a pattern, as the table may be a file or a folder
+    kind, path = table(spark, sf_dir, "events").schema, f"{sf_dir}/events.parque[t]"
+    sink = LogSink(spark, shared_path(spark, "log"))
+    for _ in range(2):
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 4).parquet(path)
+        sink.write("events", stream.select(F.col("event_id").alias("id"), "ts", "event_type", F.col("value").alias("seconds"), F.col("props").alias("text")), shared_path(spark, "log-state"))
+    entries = sink.entries().groupBy("event_type").agg(F.count("*").alias("entries"), F.sum(F.length("text")).alias("characters"))
+    return sink.stats().join(entries, "event_type").select("event_type", "total", "errors", F.round("seconds", 4).alias("seconds"), "longest", "entries", "characters")
+
+
 @query("s14_recent_queries", "SELECT event_id, substr(props, 1, 200) AS preview FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
 def recent(spark, sf_dir):
     """A report of the last twenty log entries."""

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import shared_dir
-
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -21,21 +17,3 @@ def read(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
 def ingest(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Takes up what is new and stops; a file that fails leaves its batch to be done again."""
     stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def demo(spark: SparkSession) -> DataFrame:
-    base = f"{shared_dir(spark).rstrip('/')}/watch-{uuid.uuid4().hex}"
-    system = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def put(name: str, text: str) -> None:
-        out = system.create(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/in/{name}"))
-        out.write(bytearray(text.encode()))
-        out.close()
-
-    put("a.txt", "first file")
-    put("skip.docx", "unknown kind")
-    ingest(read(spark, f"{base}/in"), f"{base}/out", f"{base}/state")
-    put("b.txt", "second")
-    ingest(read(spark, f"{base}/in"), f"{base}/out", f"{base}/state")
-    ingest(read(spark, f"{base}/in"), f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out").select("filename", F.length("text").alias("chars"))
