@@ -13,11 +13,17 @@ from ..functions.text import CJK, hints_unsupported, is_comparison, is_mostly_en
 SUPPORTED, PARTIAL = 0.5, 0.05
 
 #: CJK words that tell no topic apart (fixed values).
-GENERIC = (
-    "如何 什么 哪些 多少 为什么 怎样 是否 包括 主要 用于 系统 方法 技术 模型 数据 治疗 诊断 检查 流程 步骤 作用 影响 分析 应用 方案 相关 特点 优势 区别 对比 "
-    "临床 影像 医学 患者 疾病 功能 评估 结果 风险 标准 心血管 长期 不同 之间 以及 进行 可以 需要 通过 患者的 问题 情况 目的 对象 方式 方面 内容 类型 指标"
-).split()
-STOP_BIGRAMS = "一个 多少 什么 如何 哪些 为什么 怎样 是否 的是 用于 中的 在肺 栓塞".split()
+GENERIC = [
+    "如何", "什么", "哪些", "多少", "为什么", "怎样", "是否", "包括", "主要", "用于", "系统", "方法",
+    "技术", "模型", "数据", "治疗", "诊断", "检查", "流程", "步骤", "作用", "影响", "分析", "应用",
+    "方案", "相关", "特点", "优势", "区别", "对比", "临床", "影像", "医学", "患者", "疾病", "功能",
+    "评估", "结果", "风险", "标准", "心血管", "长期", "不同", "之间", "以及", "进行", "可以", "需要",
+    "通过", "患者的", "问题", "情况", "目的", "对象", "方式", "方面", "内容", "类型", "指标",
+]
+STOP_BIGRAMS = [
+    "一个", "多少", "什么", "如何", "哪些", "为什么", "怎样", "是否", "的是", "用于", "中的", "在肺",
+    "栓塞",
+]
 
 
 def grams(t: Column, n: int) -> Column:

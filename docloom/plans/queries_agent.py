@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import agent, bm25, caches, gates, retrieval
 from .queries_search import _HYBRID
-from .queries_text import QUESTIONS as CASES
+from .queries_text import _Q, _questions
 from .registry import query
-from .tables import VECTORS, chunks, documents, lexical, literal, literal_sql, questions, searched, table, vectors
+from .tables import VECTORS, chunks, documents, lexical, literal, literal_sql, questions, searched, split_columns, table, vectors
 
 
 def _hits(spark, sf_dir):
@@ -60,22 +60,6 @@ def domain_gate(spark, sf_dir):
 _ANSWERS = "(1, 'x [1] and [2][10]. y [7]', 10), (2, 'none', 3), (3, '[1]', 0), (4, 'no cite', 0), (5, '[3][3][2]', 3)"
 
 
-@query("g6_citations", "WITH " + literal_sql("a", "id, answer, n", _ANSWERS) + r""", c AS (SELECT id, answer, n, list_distinct(regexp_extract_all(answer, '\[(\d+)\]', 1)) AS cited, list_transform(range(1, n + 1), lambda i: CAST(i AS VARCHAR)) AS avail FROM a)
-SELECT id, list_transform(list_sort(list_transform(list_filter(cited, lambda x: list_contains(avail, x)), lambda x: CAST(x AS INT))), lambda x: CAST(x AS VARCHAR)) AS cited_valid, list_transform(list_sort(list_transform(list_filter(cited, lambda x: NOT list_contains(avail, x)), lambda x: CAST(x AS INT))), lambda x: CAST(x AS VARCHAR)) AS cited_invalid,
-list_transform(list_sort(list_transform(list_filter(avail, lambda x: NOT list_contains(cited, x)), lambda x: CAST(x AS INT))), lambda x: CAST(x AS VARCHAR)) AS unused, CASE WHEN n = 0 THEN NOT regexp_matches(answer, '\[\d+\]') ELSE len(list_filter(cited, lambda x: NOT list_contains(avail, x))) = 0 END AS valid FROM c""")
-def citations(spark, sf_dir):
-    """G6 and G11."""
-    rows = literal(spark, "id, answer, n", _ANSWERS)
-    found = rows.select("id", gates.citations(F.col("answer"), gates.source_numbers(F.col("n"))).alias("c"), gates.citation_valid(F.col("answer"), F.col("n")).alias("valid"))
-    return found.select("id", "c.cited_valid", "c.cited_invalid", "c.unused", "valid")
-
-
-@query("g7_repair", "WITH " + literal_sql("a", "id, s", "(1, 'x [1] y [5]'), (2, 'plain'), (3, '[2][3][9]')") + " SELECT id, [replace(replace(s, '[5]', ''), '[9]', '')] AS evidence FROM a")
-def repair(spark, sf_dir):
-    rows = literal(spark, "id, s", "(1, 'x [1] y [5]'), (2, 'plain'), (3, '[2][3][9]')")
-    return rows.select("id", gates.repaired(F.array("s"), F.array(*map(F.lit, ["1", "2", "3"]))).alias("evidence"))
-
-
 _RAW = [
     (1, '```json\n{"diagnosis": "d", "confidence": "high", "evidence": ["a [1]"]}\n```', True),
     (2, '{"diagnosis": "d", "confidence": "high", "evidence": ["a [9]"]}', False),
@@ -86,12 +70,6 @@ _RAW = [
 ]
 
 
-@query("g8_answers", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false), (5, false), (6, true)) AS t(id, good)")
-def answers(spark, sf_dir):
-    rows = spark.createDataFrame([r[:2] for r in _RAW], "id int, raw string")
-    return rows.select("id", gates.parsed_answer(F.col("raw"), F.array(F.lit("1"), F.lit("2")))["good"].alias("good"))
-
-
 _CLAIMS = r"""WITH a AS (SELECT item_id AS query_id, text AS answer, (SELECT text FROM documents WHERE doc_id = item_id) AS evidence FROM benchmark),
 s AS (SELECT query_id, evidence, generate_subscripts(list_filter(list_transform(regexp_split_to_array(answer, '[。！？；\n]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) >= 6), 1) - 1 AS n, unnest(list_filter(list_transform(regexp_split_to_array(answer, '[。！？；\n]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) >= 6)) AS claim FROM a),
 j AS (SELECT query_id, n, CASE WHEN regexp_matches(claim, '^[*>\-#\d.\[\]（）()\s]+$') OR contains(substr(claim, 1, 4), '**') THEN 'unverifiable' WHEN len(list_intersect(list_distinct(string_split(claim, '')), list_distinct(string_split(evidence, '')))) / len(list_distinct(string_split(claim, ''))) >= 0.6 THEN 'supported' ELSE 'unsupported' END AS status FROM s)"""
@@ -115,12 +93,6 @@ def groundedness(spark, sf_dir):
     return evaluation.groundedness(_claims(spark, sf_dir))
 
 
-@query("g10_claim_reply")
-def claim_reply(spark, sf_dir):
-    rows = spark.createDataFrame([(1, 'so: {"claims": [{"text": "a b", "status": "supported"}, {"text": "", "status": "supported"}, {"text": "c", "status": "odd"}]}'), (2, "none"), (3, '{"claims": []}')], "id int, reply string")
-    return rows.select("id", gates.parsed_claims(F.col("reply")).alias("claims"))
-
-
 @query("g12_prompt", f"{_TOP} SELECT query_id, md5(string_agg('[' || rank || '] 文件: ' || filename || chr(10) || text || chr(10), chr(10) ORDER BY rank)) AS context FROM h GROUP BY query_id")
 def prompt(spark, sf_dir):
     hits = _hits(spark, sf_dir).withColumn("section_title", F.lit("")).withColumn("parent_content", F.lit(None).cast("string"))
@@ -134,22 +106,11 @@ def cache_key(spark, sf_dir):
 
 # decisions -------------------------------------------------------------------------------------
 
-_STATES = """
- (1, 'A是什么？B是什么的详细定义呢？', 0.9, 0.0, 1.0, 0, false, false, 4, 0, 'insufficient', ''),
- (2, '窗宽和窗位的区别', 0.9, 0.0, 1.0, 0, false, false, 4, 0, 'sufficient', ''),
- (3, '2026 年新指南', 0.9, 0.0, 1.0, 0, false, false, 4, 0, 'insufficient', '未提及'),
- (4, 'plain question', 0.9, 0.0, 1.0, 2, false, true, 4, 0, 'sufficient', ''),
- (5, 'plain question', 0.9, 1.0, 1.0, 2, false, true, 4, 0, 'sufficient', ''),
- (6, 'plain question', 0.6, 0.0, 0.5, 0, false, false, 4, 0, 'sufficient', ''),
- (7, 'plain question', 0.6, 0.0, 0.0, 0, false, false, 4, 0, 'insufficient', '无相关'),
- (8, 'plain question', 0.01, 0.0, 0.0, 0, false, false, 2, 1, 'insufficient', ''),
- (9, 'plain question', 0.01, 0.0, 0.0, 0, false, false, 0, 2, 'insufficient', ''),
- (10, 'GDP 增长', 0.01, 0.0, 0.0, 0, false, false, 4, 0, 'insufficient', ''),
- (11, 'plain question', 0.2, 0.5, 0.5, 2, true, true, 2, 1, 'insufficient', ''),
- (12, 'plain question', 0.2, 0.5, 0.5, 2, true, true, 0, 2, 'insufficient', ''),
- (13, 'plain question', 0.2, 0.0, 0.5, 0, false, false, 2, 0, 'needs_decomposition', ''),
- (14, 'plain question', 0.2, 0.0, 0.5, 0, false, false, 0, 2, 'insufficient', '')"""
-_STATE_COLS = "id, question, top1, comp, lexical, n_hops, missing_hop, decomposed, budget, iteration, grade, grade_reason"
+# Every event is a state: a question in turn, the other columns from the event.
+_STATE_QUESTIONS = "(0, 'A是什么？B是什么的详细定义呢？'), (1, '窗宽和窗位的区别'), (2, '2026 年新指南'), (3, 'plain question'), (4, 'GDP 增长'), (5, 'another plain question')"
+_STATE = """event_id AS id, question, round(value / 40, 2) AS top1, (event_id % 5) / 4.0D AS comp, (event_id % 3) / 2.0D AS lexical, CAST(user_id % 3 AS INT) AS n_hops, event_id % 4 = 0 AS missing_hop, event_id % 7 < 3 AS decomposed, CAST(event_id % 4 AS INT) AS budget, CAST(user_id % 4 AS INT) AS iteration,
+ CASE event_type WHEN 'view' THEN 'sufficient' WHEN 'click' THEN 'needs_decomposition' WHEN 'error' THEN 'unsupported' ELSE 'insufficient' END AS grade, CASE WHEN event_id % 3 = 0 THEN '未提及' WHEN event_id % 3 = 1 THEN '无相关' ELSE '' END AS grade_reason"""
+_S = "WITH " + literal_sql("c", "k, question", _STATE_QUESTIONS) + ", s AS (SELECT " + _STATE.replace("4.0D", "4.0").replace("2.0D", "2.0") + " FROM events JOIN c ON c.k = event_id % 6)"
 _MULTI = r"(len(regexp_extract_all(question, '[?？]')) >= 2)"
 _COMP = r"(regexp_matches(question, '区别|对比|异同'))"
 _OOD = f"regexp_matches(question, '(?i){'|'.join(X.OUT_OF_DOMAIN)}')"
@@ -159,47 +120,29 @@ _VERDICT = f"""v AS (SELECT *, CASE WHEN {_MULTI} AND n_hops = 0 AND NOT decompo
  WHEN n_hops > 0 THEN CASE WHEN NOT missing_hop THEN 'UNCERTAIN' WHEN budget > 0 THEN 'RETRIEVE' ELSE 'ABSTAIN' END ELSE 'UNCERTAIN' END AS verdict FROM s)"""
 
 
-def _states(spark):
-    rows = literal(spark, _STATE_COLS, _STATES)
-    return rows.select(*[F.col(c).cast("double").alias(c) if c in ("top1", "comp", "lexical") else F.col(c) for c in rows.columns])
+def _states(spark, sf_dir):
+    cases = literal(spark, "k, question", _STATE_QUESTIONS)
+    return table(spark, sf_dir, "events").join(F.broadcast(cases), F.col("k") == F.col("event_id") % 6).selectExpr(*split_columns(_STATE))
 
 
-@query("g17_verdict", "WITH " + literal_sql("s", _STATE_COLS, _STATES) + f", {_VERDICT} SELECT id, verdict FROM v")
+@query("g17_verdict", _S + f", {_VERDICT} SELECT id, verdict FROM v")
 def verdict(spark, sf_dir):
-    return gates.signal_verdict(_states(spark)).select("id", "verdict")
+    return gates.signal_verdict(_states(spark, sf_dir)).select("id", "verdict")
 
 
-@query("g19_decision", "WITH " + literal_sql("s", _STATE_COLS, _STATES) + f""", {_VERDICT} SELECT id, CASE WHEN verdict <> 'UNCERTAIN' THEN verdict WHEN grade = 'sufficient' THEN 'ACCEPT' WHEN grade = 'needs_decomposition' THEN 'DECOMPOSE'
+@query("g19_decision", _S + f""", {_VERDICT} SELECT id, CASE WHEN verdict <> 'UNCERTAIN' THEN verdict WHEN grade = 'sufficient' THEN 'ACCEPT' WHEN grade = 'needs_decomposition' THEN 'DECOMPOSE'
  WHEN (grade = 'unsupported' OR (grade = 'insufficient' AND regexp_matches(grade_reason, '未提及|未找到|不存在|没有提及|无相关'))) AND NOT (({_MULTI} OR {_COMP}) AND n_hops = 0) THEN CASE WHEN budget > 0 AND iteration < 2 THEN 'RETRIEVE' ELSE 'ABSTAIN' END
  WHEN ({_MULTI} OR {_COMP}) AND n_hops = 0 AND NOT decomposed THEN 'DECOMPOSE' WHEN budget > 0 AND iteration < 2 THEN 'RETRIEVE' ELSE 'ABSTAIN' END AS decision, CASE WHEN verdict <> 'UNCERTAIN' THEN 'cheap_signal' ELSE 'grader' END AS mode FROM v""")
 def decision(spark, sf_dir):
-    return gates.decided(_states(spark)).select("id", "decision", "mode")
-
-
-@query("g18_early_policy", "WITH " + literal_sql("g", "grade, unsupported", "('sufficient', false), ('needs_decomposition', false), ('insufficient', true), ('insufficient', false)") + " SELECT grade, unsupported, CASE WHEN grade = 'sufficient' THEN 'ACCEPT' WHEN grade = 'needs_decomposition' THEN 'DECOMPOSE' WHEN unsupported THEN 'ABSTAIN' ELSE 'RETRIEVE' END AS action FROM g")
-def early_policy(spark, sf_dir):
-    rows = literal(spark, "grade, unsupported", "('sufficient', false), ('needs_decomposition', false), ('insufficient', true), ('insufficient', false)")
-    return rows.select("grade", "unsupported", gates.early_decision(F.col("grade"), F.col("unsupported")).alias("action"))
-
-
-@query("g15_rule_grade", "SELECT * FROM (VALUES (1, 'insufficient'), (2, 'unsupported'), (3, 'unsupported'), (4, 'sufficient'), (5, 'insufficient')) AS t(id, grade)")
-def rule_grade(spark, sf_dir):
-    rows = literal(spark, "id, q, rel, shares, empty", "(1, 'x', true, true, true), (2, 'GDP', true, true, false), (3, 'x', true, false, false), (4, 'x', true, true, false), (5, 'x', false, true, false)")
-    return rows.select("id", gates.rule_grade(F.col("rel"), F.col("shares"), F.col("q"), F.col("empty")).alias("grade"))
+    return gates.decided(_states(spark, sf_dir)).select("id", "decision", "mode")
 
 
 _HOPS = "(1, 1, 0.9, true), (1, 2, 0.3, true), (2, 1, 0.5, true), (2, 2, 0.01, false), (3, 1, 0.04, true)"
 
 
-@query("g16_completeness", "WITH " + literal_sql("h", "query_id, hop, score, required", _HOPS) + " SELECT query_id, avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0 END) AS completeness, avg(CASE WHEN score >= 0.05 THEN 1.0 ELSE 0 END) AS lenient FROM h WHERE required GROUP BY query_id")
-def completeness(spark, sf_dir):
-    hops = literal(spark, "query_id, hop, score, required", _HOPS).withColumn("evidence_score", F.col("score").cast("double"))
-    return gates.completeness(hops).join(gates.completeness(hops, True).withColumnRenamed("completeness", "lenient"), "query_id")
-
-
-@query("a3_plan", "WITH " + literal_sql("q_", "id, q", CASES) + " SELECT id, list_filter(list_transform(string_split(replace(q, '?', '？'), '？'), lambda p: trim(p)), lambda p: p <> '') AS plan FROM q_")
+@query("a3_plan", _Q + " SELECT id, list_filter(list_transform(string_split(replace(q, '?', '？'), '？'), lambda p: trim(p)), lambda p: p <> '') AS plan FROM q_")
 def plan(spark, sf_dir):
-    return literal(spark, "id, q", CASES).select("id", gates.plan(F.col("q")).alias("plan"))
+    return _questions(spark, sf_dir).select("id", gates.plan(F.col("q")).alias("plan"))
 
 
 def _search(spark, sf_dir):

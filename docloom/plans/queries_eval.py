@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bm25, evaluation as E
 from .queries_index import BM25
 from .registry import query
-from .tables import chunks, lexical, literal, literal_sql, questions, table
+from .tables import chunks, lexical, literal, questions, split_columns, table
 
 # Questions are benchmark items; an item quoted in some document is an exact match with those documents as gold.
 _GOLD = r"gold AS (SELECT item_id AS query_id, 'd' || doc_id AS filename FROM benchmark b, documents d WHERE contains(regexp_replace(d.text, '\s+', '', 'g'), regexp_replace(b.text, '\s+', '', 'g')))"
@@ -72,11 +72,6 @@ def recall_at_k(spark, sf_dir):
 _PAIRS = "(1, false, true, false, true), (2, true, false, true, true), (3, true, true, true, true), (4, false, false, false, true), (5, false, false, false, false)"
 
 
-@query("e14_rescue", "WITH " + literal_sql("p", "id, before, after_, pool_before, pool_after", _PAIRS) + " SELECT CAST(count(*) FILTER (NOT before AND after_) AS BIGINT) AS rescue, count(*) FILTER (before AND NOT after_) AS harm, count(*) FILTER (NOT before AND after_) - count(*) FILTER (before AND NOT after_) AS net_utility, count(*) FILTER (NOT pool_before AND pool_after) AS candidate_rescue, count(*) FILTER (pool_after AND after_) AS rerank_rescue, count(*) FILTER (pool_after AND NOT after_) AS rerank_failure FROM p")
-def rescue(spark, sf_dir):
-    return E.rescue(literal(spark, "id, before, after, pool_before, pool_after", _PAIRS))
-
-
 @query("e15_evidence", f"{_HITS}, g AS (SELECT query_id, filename AS id, 1 + row_number() OVER (PARTITION BY query_id ORDER BY filename) % 2 AS hop FROM gold), t AS (SELECT DISTINCT query_id, filename AS id FROM hits WHERE rank <= 5), i AS (SELECT g.query_id, g.hop, g.id, t.id IS NOT NULL AS f FROM g LEFT JOIN t USING (query_id, id)), r AS (SELECT query_id, avg(CAST(f AS INT)) AS er FROM i GROUP BY 1), h AS (SELECT query_id, avg(CAST(f AS INT)) AS hr FROM (SELECT query_id, hop, bool_or(f) AS f FROM i GROUP BY 1, 2) GROUP BY 1) SELECT query_id, round(er, 6) AS evidence_recall, round(hr, 6) AS hop_recall FROM r JOIN h USING (query_id)")
 def evidence(spark, sf_dir):
     from pyspark.sql import Window
@@ -92,47 +87,34 @@ def cross_document(spark, sf_dir):
     return E.cross_document(_gold(spark, sf_dir), _hits(spark, sf_dir))
 
 
-# Routes: expected and actual as comma lists.
-_ROUTES = """
- (1, 'easy_single_hop', 'RETRIEVE,ACCEPT', 'RETRIEVE,ACCEPT', true, false, 1.0, true),
- (2, 'easy_single_hop', 'RETRIEVE,RETRIEVE,ACCEPT', 'RETRIEVE,ACCEPT', true, false, 1.0, true),
- (3, 'multi_hop_composition', 'DECOMPOSE,ACCEPT', 'RETRIEVE,DECOMPOSE,ACCEPT', true, false, 1.0, false),
- (4, 'multi_hop_composition', 'RETRIEVE,ACCEPT', 'RETRIEVE,DECOMPOSE,ACCEPT', false, false, 0.5, true),
- (5, 'unsupported_ood', 'RETRIEVE,ABSTAIN', '', false, true, 0.0, false),
- (6, 'unsupported_ood', 'RETRIEVE,ACCEPT', '', false, false, 0.0, false),
- (7, 'comparison', 'RETRIEVE,RETRIEVE,ACCEPT', 'RETRIEVE,DECOMPOSE,ACCEPT', true, false, 0.75, true),
- (8, 'comparison', 'RETRIEVE,ABSTAIN', 'RETRIEVE,DECOMPOSE,ACCEPT', false, true, 0.0, false)"""
-_RCOLS = "id, type, r, x, hit, abstained, er, answer_ok"
-_R = "WITH " + literal_sql("t", _RCOLS, _ROUTES) + """, a AS (SELECT *, string_split(r, ',') AS route, CASE WHEN x = '' THEN [] ELSE string_split(x, ',') END AS expected FROM t),
+# Every event is a route: expected and actual as comma lists, outcomes from the event.
+_ROUTE = """event_id AS id, CASE event_type WHEN 'view' THEN 'easy_single_hop' WHEN 'click' THEN 'multi_hop_composition' WHEN 'error' THEN 'unsupported_ood' ELSE 'comparison' END AS type,
+ CASE event_id % 6 WHEN 0 THEN 'RETRIEVE,ACCEPT' WHEN 1 THEN 'RETRIEVE,RETRIEVE,ACCEPT' WHEN 2 THEN 'DECOMPOSE,ACCEPT' WHEN 3 THEN 'RETRIEVE,DECOMPOSE,ACCEPT' WHEN 4 THEN 'RETRIEVE,ABSTAIN' ELSE 'RETRIEVE,RETRIEVE,ABSTAIN' END AS r,
+ CASE user_id % 4 WHEN 0 THEN 'RETRIEVE,ACCEPT' WHEN 1 THEN 'RETRIEVE,DECOMPOSE,ACCEPT' WHEN 2 THEN '' ELSE 'RETRIEVE,ABSTAIN' END AS x, value > 8 AS hit, event_id % 6 >= 4 AS abstained, round(least(value, 20) / 20, 2) AS er, CASE WHEN event_id % 4 = 0 THEN 1.0 ELSE 0.5 END AS hop, event_id % 7 <> 0 AS answer_ok"""
+_R = f"WITH t AS (SELECT {_ROUTE} FROM events)" + """, a AS (SELECT *, string_split(r, ',') AS route, CASE WHEN x = '' THEN [] ELSE string_split(x, ',') END AS expected FROM t),
 b AS (SELECT *, list_filter(route[2:len(route) - 1], lambda s: s IN ('RETRIEVE', 'DECOMPOSE')) AS inner_ FROM a),
 c AS (SELECT *, CASE WHEN len(expected) = 0 THEN route[-1] = 'ABSTAIN' WHEN route[-1] <> expected[-1] THEN false WHEN route[-1] = 'ABSTAIN' THEN true WHEN len(expected) = 2 THEN len(inner_) = 0 ELSE len(inner_) > 0 OR (route[1] = 'DECOMPOSE' AND len(route) >= 2) END AS policy_ok,
  type = 'easy_single_hop' AND len(inner_) > 0 AS unnecessary, list_contains(inner_, 'RETRIEVE') AND route[-1] = 'ACCEPT' AND hit AS retry_recovery, list_contains(route, 'DECOMPOSE') AND route[-1] = 'ACCEPT' AND hit AS decomposition_success FROM b)"""
 
 
-def _routes(spark):
-    rows = literal(spark, _RCOLS, _ROUTES)
-    return rows.select("id", "type", F.split("r", ",").alias("route"), F.when(F.col("x") == "", F.array().cast("array<string>")).otherwise(F.split("x", ",")).alias("expected_route"), "hit", "abstained", F.col("er").cast("double").alias("evidence_recall"), "answer_ok")
+def _routes(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr(*split_columns(_ROUTE))
+    return rows.select("id", "type", F.split("r", ",").alias("route"), F.when(F.col("x") == "", F.array().cast("array<string>")).otherwise(F.split("x", ",")).alias("expected_route"), "hit", "abstained", F.col("er").cast("double").alias("evidence_recall"), F.col("hop").cast("double").alias("hop_recall"), "answer_ok")
 
 
 @query("e16_routes", f"{_R} SELECT id, policy_ok, unnecessary, retry_recovery, decomposition_success FROM c")
 def routes(spark, sf_dir):
-    return E.route_metrics(_routes(spark)).select("id", "policy_ok", "unnecessary", "retry_recovery", "decomposition_success")
+    return E.route_metrics(_routes(spark, sf_dir)).select("id", "policy_ok", "unnecessary", "retry_recovery", "decomposition_success")
 
 
-@query("e18_capability", f"{_R} SELECT coalesce(type, '*') AS type, count(*) AS n, round(avg(CAST(er AS DOUBLE)), 3) AS evidence_recall, round(avg(CAST(er AS DOUBLE)), 3) AS hop_recall, sum(CAST(policy_ok AS INT)) AS policy_ok, sum(CAST(unnecessary AS INT)) AS unnecessary, sum(CAST(retry_recovery AS INT)) AS retry_recovery, sum(CAST(decomposition_success AS INT)) AS decomposition_success, sum(CAST(answer_ok AS INT)) AS answer_ok, count(*) FILTER (type_ = 'unsupported_ood' AND abstained) AS ood_reject, count(*) FILTER (type_ <> 'unsupported_ood' AND abstained) AS false_abstain FROM (SELECT *, type AS type_ FROM c) GROUP BY GROUPING SETS ((), (type))")
+@query("e18_capability", f"{_R} SELECT coalesce(type, '*') AS type, count(*) AS n, round(avg(CAST(er AS DOUBLE)), 3) AS evidence_recall, round(avg(CAST(hop AS DOUBLE)), 3) AS hop_recall, sum(CAST(policy_ok AS INT)) AS policy_ok, sum(CAST(unnecessary AS INT)) AS unnecessary, sum(CAST(retry_recovery AS INT)) AS retry_recovery, sum(CAST(decomposition_success AS INT)) AS decomposition_success, sum(CAST(answer_ok AS INT)) AS answer_ok, count(*) FILTER (type_ = 'unsupported_ood' AND abstained) AS ood_reject, count(*) FILTER (type_ <> 'unsupported_ood' AND abstained) AS false_abstain FROM (SELECT *, type AS type_ FROM c) GROUP BY GROUPING SETS ((), (type))")
 def capability(spark, sf_dir):
-    return E.capability(E.route_metrics(_routes(spark)).withColumn("hop_recall", F.col("evidence_recall")))
+    return E.capability(E.route_metrics(_routes(spark, sf_dir)))
 
 
 @query("e21_failure_surfaces", f"{_R}, e AS (SELECT *, abstained <> (len(expected) = 0 OR coalesce(expected[-1] = 'ABSTAIN', false)) AS refusal, len(expected) > 0 AND coalesce(route[-1] = expected[-1], false) AND NOT policy_ok AS policy_, NOT abstained AND er < 1.0 AS retrieval FROM c) SELECT id, list_filter([CASE WHEN refusal THEN 'refusal' END, CASE WHEN policy_ THEN 'policy' END, CASE WHEN retrieval THEN 'retrieval' END, CASE WHEN NOT abstained AND NOT answer_ok AND NOT refusal AND NOT policy_ AND NOT retrieval THEN 'generation' END], lambda s: s IS NOT NULL) AS surfaces FROM e")
 def failure_surfaces(spark, sf_dir):
-    return E.failure_surfaces(_routes(spark))
-
-
-@query("e17_final_answer", "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, true)) AS t(id, ok)")
-def final_answer(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "the value is 0.9 81", "0.981"), (2, '```json\n{"diagnosis": "x", "evidence": ["mean 42 mm"]}\n```', "42mm"), (3, "abc", ""), (4, "abc", "d"), (5, '{"diagnosis": "the answer"}', "answer")], "id int, answer string, expected string")
-    return rows.select("id", E.final_answer_ok(F.col("answer"), F.col("expected")).alias("ok"))
+    return E.failure_surfaces(_routes(spark, sf_dir))
 
 
 _BAD = """
@@ -141,27 +123,11 @@ _BAD = """
 _BCOLS = "id, discovered, problem, expected_behavior, root_cause, fix, verification, status"
 
 
-@query("e22_audit", "WITH " + literal_sql("t", _BCOLS, _BAD) + ", v AS (" + " UNION ALL ".join([f"SELECT id, 'missing {c}' AS violation FROM t WHERE coalesce({c}, '') = ''" for c in E.REQUIRED] + ["SELECT id, 'status' FROM t WHERE status <> '' AND status NOT IN ('open', 'investigating', 'fixing', 'verifying', 'closed')", r"SELECT id, 'discovered' FROM t WHERE discovered <> '' AND NOT regexp_matches(discovered, '^\d{4}-\d{2}-\d{2}$')", "SELECT id, 'repeated id' FROM t WHERE id IN (SELECT id FROM t GROUP BY id HAVING count(*) > 1)"] + [f"SELECT id, 'closed without {c}' FROM t WHERE status = 'closed' AND {c} = ''" for c in ("root_cause", "fix", "verification")]) + ") SELECT * FROM v")
-def audit(spark, sf_dir):
-    return E.audit(literal(spark, _BCOLS, _BAD))
-
-
 _NOW = "('evidence_recall', 0.88), ('policy_action_accuracy', 0.7), ('ood_reject', 1.0)"
 _BASE = "('evidence_recall', 0.89), ('policy_action_accuracy', 0.8), ('ood_reject', 1.0)"
 _TOLERANCE = {"evidence_recall": 0.02, "policy_action_accuracy": 0.0, "ood_reject": 0.0}
 
 
-@query("e23_regression", "WITH " + literal_sql("n", "metric, value", _NOW) + ", " + literal_sql("b", "metric, value", _BASE) + " SELECT metric, round(CAST(n.value - b.value AS DOUBLE), 6) AS delta, n.value - b.value >= -(CASE WHEN metric = 'evidence_recall' THEN 0.02 ELSE 0 END) AS ok FROM n JOIN b USING (metric)")
-def regression(spark, sf_dir):
-    rows = lambda t: literal(spark, "metric, value", t).withColumn("value", F.col("value").cast("double"))
-    return E.regressions(rows(_NOW), rows(_BASE), _TOLERANCE)
-
-
-@query("e24_parity", "WITH " + literal_sql("a", "query_id, route, answer", "(1, 'R,A', 'x'), (2, 'D,A', NULL), (3, 'R', 'z')") + ", " + literal_sql("b", "query_id, route, answer", "(1, 'R,A', 'y'), (2, 'D,A', NULL), (4, 'R', 'z')") + " SELECT count(*) AS n, sum(CAST(a.route IS NOT DISTINCT FROM b.route AS INT)) AS route, sum(CAST(a.answer IS NOT DISTINCT FROM b.answer AS INT)) AS answer FROM a JOIN b USING (query_id)")
-def parity(spark, sf_dir):
-    return E.parity(literal(spark, "query_id, route, answer", "(1, 'R,A', 'x'), (2, 'D,A', NULL), (3, 'R', 'z')"), literal(spark, "query_id, route, answer", "(1, 'R,A', 'y'), (2, 'D,A', NULL), (4, 'R', 'z')"), ["route", "answer"])
-
-
 # logs: events are query log entries ------------------------------------------------------------
 
 

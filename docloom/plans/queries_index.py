@@ -224,11 +224,6 @@ _SMALL = "('a_1', 'a_parent_1', 's1'), ('a_2', 'a_parent_1', 's2'), ('a_3', 'a_p
 _PARENT = "('a_parent_1', 'parent text one', 'H1'), ('a_parent_2', 'parent text two', 'H2')"
 
 
-@query("k9_parent_link", "WITH " + literal_sql("s", "chunk_id, parent_id, text", _SMALL) + ", " + literal_sql("p", "parent_id, content, heading", _PARENT) + " SELECT chunk_id, text, s.parent_id, content AS parent_content, substr(content, 1, 100) AS parent_summary, heading AS section_title FROM s LEFT JOIN p USING (parent_id)")
-def parent_link(spark, sf_dir):
-    return chunking.linked(literal(spark, "chunk_id, parent_id, text", _SMALL), literal(spark, "chunk_id, text, heading", _PARENT))
-
-
 @query("k10_thresholds", "SELECT doc_id, CAST(CASE WHEN n_chars >= 10000 THEN 4.0 WHEN n_chars >= 5000 THEN 3.0 WHEN n_chars >= 2500 THEN 2.0 WHEN n_chars >= 1000 THEN 1.5 ELSE 1.0 END AS DOUBLE) AS scale FROM documents")
 def thresholds(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", chunking.size_scale(F.col("n_chars"), unit=500).alias("scale"))

@@ -23,12 +23,12 @@ def reflow(spark, sf_dir):
 
 @query("p9_tables")
 def tables(spark, sf_dir):
-    return _pages(spark).select("id", P.tables(F.col("text")).alias("text"))
+    return _pages(spark, sf_dir).select("id", P.tables(F.col("text")).alias("text"))
 
 
 @query("p11_headings")
 def headings(spark, sf_dir):
-    return _pages(spark).select("id", P.headings(F.col("text")).alias("text"))
+    return _pages(spark, sf_dir).select("id", P.headings(F.col("text")).alias("text"))
 
 
 @query("p12_markdown")
@@ -100,11 +100,6 @@ def response(spark, sf_dir):
     return hits.where("rank <= 10").select("query_id", "id", F.round("score", 4).alias("score"), F.substring("text", 1, 200).alias("preview"))
 
 
-@query("a7_state_json", "WITH " + literal_sql("s", "query_id, decision", "(1, 'ACCEPT'), (2, 'ABSTAIN')") + """ SELECT query_id, '{"query_id":' || query_id || ',"decision":"' || decision || '"}' AS state FROM s""")
-def state_json(spark, sf_dir):
-    return literal(spark, "query_id, decision", "(1, 'ACCEPT'), (2, 'ABSTAIN')").select("query_id", F.to_json(F.struct("query_id", "decision")).alias("state"))
-
-
 @query("g14_refusals", "SELECT item_id, 'No support found for: ' || substr(text, 1, 40) AS answer FROM benchmark")
 def refusals(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("No support found for: "), F.substring("text", 1, 40)).alias("answer"))

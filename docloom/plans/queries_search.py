@@ -77,11 +77,6 @@ def _lists(spark):
     return cast(literal(spark, _COLS, _VEC)), cast(literal(spark, _COLS, _LEX))
 
 
-@query("r1_rrf", f"{_LISTS}, {_FUSED} SELECT query_id, id, round(CAST(score AS DOUBLE), 4) AS score, vector_score, rank FROM fused")
-def rrf(spark, sf_dir):
-    return fusion.rrf(*_lists(spark)).select("query_id", "id", F.round("score", 4).alias("score"), "vector_score", "rank")
-
-
 # Chunks have no vectors of their own in the tables: a chunk's is that of its id modulo the vectors, a question's likewise.
 _HYBRID = f"""{BM25}, {VECTORS}, nv AS (SELECT count(*) AS n FROM vectors),
 cv AS (SELECT chunk_id, embedding FROM chunks JOIN vectors ON vec_id = (doc_id * 31 + pos) % (SELECT n FROM nv)),
@@ -97,22 +92,9 @@ def hybrid(spark, sf_dir):
     return found.where("rank <= 20").select("query_id", "id", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), "rank")
 
 
-@query("r2_padded", f"{_LISTS}, {_FUSED}, top AS (SELECT query_id, id, 0 AS part, rank FROM fused WHERE rank <= 2), both_ AS (SELECT * FROM top UNION ALL SELECT query_id, id, 1, rank FROM v WHERE (query_id, id) NOT IN (SELECT query_id, id FROM top)) SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS rank FROM both_) WHERE rank <= 3")
-def pad(spark, sf_dir):
-    vec, lex = _lists(spark)
-    fused = fusion.rrf(vec, lex)
-    return fusion.padded(fused.where("rank <= 2"), vec, 3)
-
-
 _VARIANTS = "(1, 0, 'a', 1), (1, 0, 'b', 2), (1, 1, 'b', 1), (1, 1, 'c', 2), (1, 2, 'c', 1), (1, 2, 'a', 3)"
 
 
-@query("r3_weighted_rrf", "WITH " + literal_sql("t", "query_id, variant, id, rank", _VARIANTS) + ", s AS (SELECT query_id, id, sum((CASE WHEN variant = 0 THEN 1.5 ELSE 1.0 END) / (60 + rank)) AS score FROM t GROUP BY 1, 2) SELECT query_id, id, round(CAST(score AS DOUBLE), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s")
-def cross(spark, sf_dir):
-    rows = literal(spark, "query_id, variant, id, rank", _VARIANTS)
-    return fusion.weighted_rrf(rows).withColumn("score", F.round("score", 6))
-
-
 _HITS = f"{BM25}, hits AS (SELECT query_id, chunk_id AS id, filename, rank FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 20)"
 
 
@@ -175,15 +157,6 @@ _REPLIES = "(1, '1. first query\n2、second query\nabc'), (2, '[LLM 不可用]')
 _REPLIES_SQL = _REPLIES.replace("\n", "' || chr(10) || '")
 
 
-@query("r7_rewrites", "WITH " + literal_sql("t", "id, reply", _REPLIES_SQL) + r""", l AS (SELECT id, list_filter(list_transform(string_split(trim(reply), chr(10)), lambda s: trim(trim(regexp_replace(trim(s), '^\d+[.、\)\s]+', '')), '"''')), lambda s: length(s) >= 4) AS lines, contains(reply, '[LLM 不可用') AS failed FROM t)
-SELECT id, CASE WHEN NOT failed AND len(lines) > 0 THEN lines END AS queries FROM l""")
-def rewrites(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "1. first query\n2、second query\nabc"), (2, "[LLM 不可用]"), (3, "  "), (4, '"quoted query text"')], "id int, reply string")
-    return rows.select("id", retrieval.parsed_rewrites(F.col("reply")).alias("queries"))
-
-
-
-
 @query("r8_rerank", f"{_HITS}, s AS (SELECT query_id, hits.id, hits.rank AS place, round(({_LEXICAL}), 4) AS rerank_score FROM hits JOIN chunks ON chunk_id = hits.id JOIN questions USING (query_id) WHERE hits.rank <= 16) SELECT query_id, id, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, place) AS rank FROM s) WHERE rank <= 5".replace(r"\w", "[a-z0-9_]"))
 def rerank(spark, sf_dir):
     hits = _hits(spark, sf_dir).join(questions(spark, sf_dir), "query_id")
@@ -219,12 +192,6 @@ def score_store(spark, sf_dir):
     return store.reranked(hits, 5).select("query_id", "id", F.round("rerank_score", 4).alias("rerank_score"), "rank")
 
 
-@query("r10_rerank_reply")
-def rerank_reply(spark, sf_dir):
-    rows = spark.createDataFrame([(1, '```json\n[{"relevance": 0.9}, {"relevance": "x"}, {}]\n```'), (2, "scores: [0.5, 1]"), (3, "none")], "id int, reply string")
-    return rows.select("id", retrieval.parsed_scores(F.col("reply"), 4).alias("scores"))
-
-
 @query("r11_small_to_big", f"{_HITS} SELECT query_id, id, rank, md5(coalesce(p.text, '')) AS text FROM (SELECT *, row_number() OVER (PARTITION BY query_id, filename ORDER BY rank) AS n FROM hits) h JOIN (SELECT filename, text FROM chunks WHERE pos = 0) p USING (filename) WHERE n = 1 OR p.text = ''")
 def small_to_big(spark, sf_dir):
     # the parent of a chunk is its document's first line
@@ -238,42 +205,17 @@ _BANK = "(1, 'a', 0.5), (1, 'b', 0.4)"
 _NEW = "(1, 'b', 0.9), (1, 'c', 0.3), (2, 'z', 0.1)"
 
 
-@query("r12_accumulate", "WITH " + literal_sql("b", "query_id, id, score", _BANK) + ", " + literal_sql("n", "query_id, id, score", _NEW) + " SELECT query_id, id, CAST(coalesce(n.score, b.score) AS DOUBLE) AS score, CASE WHEN b.id IS NULL THEN 1 ELSE 0 END AS since FROM b FULL OUTER JOIN n USING (query_id, id)")
-def accumulate(spark, sf_dir):
-    rows = lambda t: literal(spark, "query_id, id, score", t).withColumn("score", F.col("score").cast("double"))
-    return fusion.accumulated(rows(_BANK), rows(_NEW))
-
-
 @query("r13_hop_evidence", f"{_HITS}, hops AS (SELECT query_id, generate_subscripts(string_split(question, '. '), 1) AS hop, unnest(string_split(question, '. ')) AS question FROM questions), s AS (SELECT query_id, hop, hits.id, hits.rank, round(({_LEXICAL}), 4) AS rel FROM hops JOIN hits USING (query_id) JOIN chunks ON chunk_id = hits.id WHERE hits.rank <= 16), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, hop ORDER BY rel DESC, rank) AS n FROM s) SELECT query_id, hop, max(rel) AS evidence_score, list(id ORDER BY n) AS evidence FROM r WHERE n <= 3 GROUP BY query_id, hop".replace(r"\w", "[a-z0-9_]"))
 def hop_evidence(spark, sf_dir):
     hops = questions(spark, sf_dir).select("query_id", F.posexplode(F.split("question", r"\. ", -1)).alias("hop", "question")).withColumn("hop", F.col("hop") + 1)
     return retrieval.hop_evidence(hops, _hits(spark, sf_dir))
 
 
-@query("r14_final_evidence", "WITH " + literal_sql("e", "query_id, hop, place, id", "(1, 1, 1, 'a'), (1, 1, 2, 'b'), (1, 2, 1, 'a'), (1, 2, 2, 'c'), (1, 2, 3, 'd')") + ", f AS (SELECT query_id, id, min(hop * 1000 + place) AS o FROM e GROUP BY 1, 2) SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY o) AS rank FROM f) WHERE rank <= 3")
-def final_evidence(spark, sf_dir):
-    rows = literal(spark, "query_id, hop, place, id", "(1, 1, 1, 'a'), (1, 1, 2, 'b'), (1, 2, 1, 'a'), (1, 2, 2, 'c'), (1, 2, 3, 'd')")
-    return retrieval.final_evidence(rows, 3)
-
-
 @query("r15_variant", f"{_HITS}, t AS (SELECT query_id, rank, generate_subscripts(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9\\-]{{2,20}}'), 1) AS p, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9\\-]{{2,20}}')) AS term FROM hits JOIN chunks ON chunk_id = id WHERE rank <= 10), c AS (SELECT query_id, term, count(*) AS n, min(rank * 1000000 + p) AS first FROM t JOIN questions USING (query_id) WHERE NOT contains(question, term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, first) AS k FROM c WHERE n >= 2) SELECT query_id, question || ' ' || string_agg(term, ' ' ORDER BY k) AS variant FROM r JOIN questions USING (query_id) WHERE k <= 4 GROUP BY query_id, question")
 def variant(spark, sf_dir):
     return retrieval.variants(questions(spark, sf_dir), _hits(spark, sf_dir))
 
 
-@query("r16_tags", "WITH " + literal_sql("k", "name, tags", "('a', 'x,y'), ('b', 'y,z'), ('c', '')") + " SELECT list_sort(list_distinct(flatten(list(list_filter(string_split(tags, ','), lambda t: t <> ''))))) AS tags FROM k")
-def tags(spark, sf_dir):
-    from ..sources.collections import all_tags
-
-    rows = literal(spark, "name, tags", "('a', 'x,y'), ('b', 'y,z'), ('c', '')")
-    return all_tags(rows.select("name", F.filter(F.split("tags", ","), lambda t: t != "").alias("tags")))
-
-
-@query("r17_tag_filter", f"WITH {_SEARCH} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} AS rank FROM scored WHERE domain IN (1, 3)) WHERE rank <= 5")
-def tag_filter(spark, sf_dir):
-    return V.search(vectors(spark, sf_dir), _asked(spark, sf_dir), 5, F.col("domain").isin(1, 3)).withColumn("score", F.round("score", 6))
-
-
 @query("r18_gold", r"WITH q AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS s FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents), e AS (SELECT item_id, doc_id, 'exact' AS how FROM q, d WHERE contains(t, s)), f AS (SELECT item_id, doc_id, 'prefix' FROM q, d WHERE length(substr(s, 1, 30)) >= 8 AND contains(t, substr(s, 1, 30)) AND item_id NOT IN (SELECT item_id FROM e)) SELECT * FROM e UNION ALL SELECT * FROM f")
 def gold(spark, sf_dir):
     return containment.gold_lookup(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("sentence")), table(spark, sf_dir, "documents").select("doc_id", "text"))

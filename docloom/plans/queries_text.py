@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .registry import query
-from .tables import documents, literal, literal_sql
+from .tables import documents, literal, literal_sql, table
 
 # Literal texts that the corpus has none of: CJK, headings, tables, injection, routes.
 PAGES = """
@@ -41,16 +41,26 @@ QUESTIONS = """
  (18, '如何制造毒药')"""
 
 
-def _pages(spark):
-    return literal(spark, "id, text", PAGES)
+def _pages(spark, sf_dir):
+    """Every document with one of the texts above before its own."""
+    cases = literal(spark, "case, head", PAGES)
+    return documents(spark, sf_dir).join(F.broadcast(cases), F.col("case") == 1 + F.col("doc_id") % 8).select(F.col("doc_id").alias("id"), F.concat_ws("\n", "head", "text").alias("text"))
 
 
-def _questions(spark):
-    return literal(spark, "id, q", QUESTIONS)
+def dealt_sql() -> str:
+    """The questions above as a table expression."""
+    return literal_sql("q_", "id, q", QUESTIONS)
 
 
-_P = "WITH " + literal_sql("pages_", "id, text", PAGES_SQL)
-_Q = "WITH " + literal_sql("q_", "id, q", QUESTIONS)
+def _questions(spark, sf_dir):
+    """Every turn of a conversation as a question: one of the above, alone or before the turn's text."""
+    cases = literal(spark, "case, head", QUESTIONS)
+    rows = table(spark, sf_dir, "conversations").join(F.broadcast(cases), F.col("case") == 1 + (F.col("conv_id") * 31 + F.col("turn")) % 18)
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") % 3 == 0, F.col("head")).otherwise(F.concat_ws(" ", "head", "text")).alias("q"))
+
+
+_P = "WITH " + literal_sql("cases", "id, head", PAGES_SQL) + ", pages_ AS (SELECT doc_id AS id, head || chr(10) || text AS text FROM documents JOIN cases ON cases.id = 1 + doc_id % 8)"
+_Q = "WITH " + literal_sql("cases", "id, head", QUESTIONS) + ", q_ AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 0 THEN head ELSE head || ' ' || text END AS q FROM conversations JOIN cases ON cases.id = 1 + (conv_id * 31 + turn) % 18)"
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
@@ -72,7 +82,7 @@ def language(spark, sf_dir):
 
 @query("p2_doi", _P + r" SELECT id, regexp_replace(regexp_extract(text, '(?i)DOI\s*[:\s]\s*(10\.\S+)', 1), '\.+$', '') AS doi FROM pages_")
 def doi(spark, sf_dir):
-    return _pages(spark).select("id", X.doi(F.col("text")).alias("doi"))
+    return _pages(spark, sf_dir).select("id", X.doi(F.col("text")).alias("doi"))
 
 
 @query(
@@ -86,9 +96,7 @@ def title(spark, sf_dir):
 
 @query("p4_abstract")
 def abstract(spark, sf_dir):
-    return _pages(spark).select("id", X.abstract(F.col("text")).alias("abstract"))
-
-
+    return _pages(spark, sf_dir).select("id", X.abstract(F.col("text")).alias("abstract"))
 
 
 @query(
@@ -98,7 +106,7 @@ def abstract(spark, sf_dir):
       OR regexp_matches(s, '(?i)^(?:Introduction|Background|Methods|Methodology|Results|Discussion|Conclusion|Related Work|Experiments|参考文献|References|引言|方法|结果|讨论|结论|相关工作)')), lambda s: substr(s, 1, 100)) AS sections FROM pages_""",
 )
 def sections(spark, sf_dir):
-    return _pages(spark).select("id", X.sections(F.col("text")).alias("sections"))
+    return _pages(spark, sf_dir).select("id", X.sections(F.col("text")).alias("sections"))
 
 
 @query("p6_sanitize", r"SELECT doc_id, md5(regexp_replace(text, '[^\n\x{20}-\x{7E}\x{A0}-\x{D7FE}\x{10000}-\x{10FFFF}]', '', 'g')) AS clean FROM documents")
@@ -122,7 +130,7 @@ def page_lines(spark, sf_dir):
 
 @query("p7_page_lines_cases", _P + _LINES_SQL.replace("@key@", "id").replace("@source@", "pages_"))
 def page_lines_cases(spark, sf_dir):
-    return _pages(spark).select("id", X.page_lines(F.col("text")).alias("lines"))
+    return _pages(spark, sf_dir).select("id", X.page_lines(F.col("text")).alias("lines"))
 
 
 _ROW_SQL = rf"""length({s_("s")}) >= 20 AND (len(regexp_split_to_array({s_("s")}, '\s{{2,}}')) >= 3 OR len(regexp_split_to_array({s_("s")}, '\s+')) >= 3) AND regexp_matches({s_("s")}, '\d')"""
@@ -148,7 +156,7 @@ def columns(spark, sf_dir):
 
 @query("s3_markdown", _P + r""" SELECT id, array_to_string(list_filter(string_split(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), chr(10)), lambda s: NOT starts_with(regexp_replace(s, '^\s+', ''), '```')), chr(10)) AS text FROM pages_""")
 def markdown(spark, sf_dir):
-    return _pages(spark).select("id", X.markdown_text(F.col("text")).alias("text"))
+    return _pages(spark, sf_dir).select("id", X.markdown_text(F.col("text")).alias("text"))
 
 
 @query("s4_text", "SELECT doc_id, text, 1 AS total_pages FROM documents")
@@ -156,14 +164,6 @@ def plain(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", "text", F.lit(1).alias("total_pages"))
 
 
-@query("s6_domain", "WITH " + literal_sql("p", "path", "('a.pdf'), ('cardio/a.pdf'), ('cardio/x/b.md'), ('neuro/c.txt')") + " SELECT path, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE 'general' END AS domain FROM p")
-def domain(spark, sf_dir):
-    from ..sources.files import domain_of
-
-    rows = literal(spark, "path", "('a.pdf'), ('cardio/a.pdf'), ('cardio/x/b.md'), ('neuro/c.txt')")
-    return rows.select("path", domain_of(F.col("path")).alias("domain"))
-
-
 @query("s19_scanned", "SELECT doc_id, n_chars / greatest(doc_id % 4, 1) < 50 OR doc_id % 4 = 0 AS scanned FROM documents")
 def scanned(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", X.is_scanned(F.col("n_chars"), F.col("doc_id") % 4).alias("scanned"))
@@ -195,7 +195,7 @@ def quality_gate(spark, sf_dir):
 
 @query("c7_cleanup_cases", _P + ", " + _CLEAN_SQL.replace("@key@", "id").replace("@source@", "pages_") + " SELECT id, round(score, 3) AS score, score >= 0.3 AND NOT blocked AS passed, t4 AS text, low > 0.3 AS noisy FROM c9")
 def cleanup_cases(spark, sf_dir):
-    found = X.cleanup(_pages(spark)).select("id", F.col("cleanup").alias("c"))
+    found = X.cleanup(_pages(spark, sf_dir)).select("id", F.col("cleanup").alias("c"))
     return found.select("id", "c.score", "c.passed", "c.text", F.array_contains("c.flags", "high_noise_ratio").alias("noisy"))
 
 
@@ -206,17 +206,17 @@ def c1(spark, sf_dir):
 
 @query("c2_blanks", _P + " SELECT id, " + _C2.format("text") + " AS text FROM pages_")
 def c2(spark, sf_dir):
-    return _pages(spark).select("id", X.collapsed_blanks(F.col("text")).alias("text"))
+    return _pages(spark, sf_dir).select("id", X.collapsed_blanks(F.col("text")).alias("text"))
 
 
 @query("c3_footers", _P + f" SELECT id, array_to_string(list_filter(string_split(text, chr(10)), lambda s: NOT {_FOOT}), chr(10)) AS text FROM pages_")
 def c3(spark, sf_dir):
-    return _pages(spark).select("id", X.without_footers(F.col("text")).alias("text"))
+    return _pages(spark, sf_dir).select("id", X.without_footers(F.col("text")).alias("text"))
 
 
 @query("c4_headings", _P + rf" SELECT id, CASE WHEN regexp_matches(text, '(?m)^#{{1,3}}\s+\S') THEN text ELSE array_to_string(list_transform(string_split(text, chr(10)), lambda s: CASE WHEN {_LOOSE} THEN '## ' || {s_('s')} ELSE s END), chr(10)) END AS text FROM pages_")
 def c4(spark, sf_dir):
-    return _pages(spark).select("id", X.normalized_headings(F.col("text")).alias("text"))
+    return _pages(spark, sf_dir).select("id", X.normalized_headings(F.col("text")).alias("text"))
 
 
 @query("c5_low_value", rf"WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: {s_('s')}), lambda s: s <> '') AS l FROM documents) SELECT doc_id, round(len(list_filter(l, lambda s: (regexp_matches(s, '^[\d\s,./\-|\\()]+$') AND length(s) > 3) OR (length(s) < 3 AND NOT regexp_matches(s, '^[#!]')))) / greatest(len(l), 1), 6) AS share FROM d")
@@ -255,12 +255,9 @@ _ENT = r"regexp_extract_all(lower({0}), '[A-Za-z][A-Za-z0-9\-]{{2,}}')"
 def predicates(spark, sf_dir):
     """F2 to F7 on literal questions."""
     q = F.col("q")
-    return _questions(spark).select(
+    return _questions(spark, sf_dir).select(
         "id", X.injection_category(q).alias("injection"), X.is_out_of_domain(q).alias("ood"), X.needs_rewrite(q).alias("rewrite"),
         X.is_multi_part(q).alias("multi_part"), X.is_comparison(q).alias("comparison"), X.is_time_sensitive(q).alias("time_sensitive"),
     )
 
 
-@query("f8_hints", "WITH " + literal_sql("r", "reason", "('证据未提及该年会'), ('证据充分'), ('文档中不存在'), ('')") + " SELECT reason, regexp_matches(reason, '未提及|未找到|不存在|没有提及|无相关') AS hint FROM r")
-def hints(spark, sf_dir):
-    return literal(spark, "reason", "('证据未提及该年会'), ('证据充分'), ('文档中不存在'), ('')").select("reason", X.hints_unsupported(F.col("reason")).alias("hint"))

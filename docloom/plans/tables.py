@@ -73,6 +73,18 @@ def lexical(spark: SparkSession, sf_dir: str) -> LexicalStore:
 VECTORS = "vectors AS (SELECT vec_id, label AS domain, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"
 
 
+def split_columns(columns: str) -> list[str]:
+    """Column expressions between the commas outside of brackets and quotes."""
+    out, depth, quoted, start = [], 0, False, 0
+    for i, c in enumerate(columns):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not depth and not quoted:
+            out.append(columns[start:i])
+            start = i + 1
+    return [*out, columns[start:]]
+
+
 def literal(spark: SparkSession, columns: str, rows: str) -> DataFrame:
     """A small table of literals; the same text works as SQL in other engines."""
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
