@@ -229,3 +229,62 @@ def keyword_hit_rate(answer: Column, keywords: Column) -> Column:
     """The share of expected keywords that an answer has, in any case of letters; 0 without keywords."""
     found = F.filter(keywords, lambda k: F.contains(F.lower(answer), F.lower(k)))
     return F.coalesce(F.try_divide(F.size(found).cast("double"), F.size(keywords)), F.lit(0.0))
+
+
+# gold chunks, criteria, golden questions --------------------------------------------------------
+
+
+def answerability(records: DataFrame) -> DataFrame:
+    """(answerability, n) of the records that expect a document; those without a label are unlabeled."""
+    label = F.coalesce("gold_answerability", F.lit("unlabeled"))
+    return records.where(F.coalesce("expected_doc", F.lit("")) != "").groupBy(label.alias("answerability")).agg(F.count("*").alias("n"))
+
+
+def chunk_level(records: DataFrame) -> DataFrame:
+    """One row: the share of records with gold chunks that hit one, and how many questions without support were refused; 0 where there are none."""
+    labelled, unsupported = F.coalesce(F.size("gold_chunk_ids") > 0, F.lit(False)), F.coalesce(F.col("gold_answerability") == "unsupported", F.lit(False))
+    part = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
+    hit, refused = part(labelled & F.coalesce("expected_hit", F.lit(False))), part(unsupported & F.coalesce("correct_refusal", F.lit(False)))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    return records.agg(ratio(hit, part(labelled)).alias("chunk_hit_rate"), part(unsupported).alias("unsupported"), refused.alias("refused"), F.round(ratio(refused, part(unsupported)), 4).alias("refusal_rate"))
+
+
+def precision_at_k(hits: DataFrame, ks: DataFrame) -> DataFrame:
+    """(k, precision): of each question's first k hits the share of different files, a mean over the questions that have hits. ``ks`` (k) are few."""
+    top = hits.join(F.broadcast(ks), F.col("rank") <= F.col("k"))  # a hit goes to as many k as there are
+    per = top.groupBy("k", "query_id").agg((F.countDistinct(F.coalesce("filename", F.lit(""))) / F.count("*")).alias("p"))
+    return per.groupBy("k").agg(F.avg("p").alias("precision"))
+
+
+def exit_criteria(m: DataFrame) -> DataFrame:
+    """(criterion, ok) of one row of figures: harm, ood, ood_rejected, false_abstain, unnecessary, evidence_recall (of what can be answered), decomposition_success."""
+    rules = {"harm": F.col("harm") == 0, "ood_reject": F.col("ood_rejected") == F.col("ood"), "false_abstain": F.col("false_abstain") == 0, "unnecessary": F.col("unnecessary") == 0, "evidence_recall": F.col("evidence_recall") >= 0.8, "decomposition": F.col("decomposition_success") > 0}
+    each = F.array(*(F.struct(F.lit(name).alias("criterion"), F.coalesce(ok, F.lit(False)).alias("ok")) for name, ok in rules.items()))
+    return m.select(F.inline(each))
+
+
+def rule_checks(probes: DataFrame) -> DataFrame:
+    """(id, category, ok): probes that should be accepted have no sign of several parts, those to be decomposed have one; others aren't checked."""
+    from ..functions.text import is_comparison, is_multi_part
+
+    several = is_multi_part(F.col("question")) | is_comparison(F.col("question"))
+    return probes.where(F.col("category").isin("accept", "decompose")).select("id", "category", F.when(F.col("category") == "accept", ~several).otherwise(several).alias("ok"))
+
+
+def golden_hit(expected: Column, filename: Column) -> Column:
+    """Whether a file is the expected one: by its name, its name without suffix, or as beginning of what follows the first underscore."""
+    base = F.regexp_replace(expected, r"\.[^.]*$", "")
+    stem = F.when(base.contains("_"), F.regexp_replace(base, "^[^_]*_", "")).otherwise(base)
+    return (F.coalesce(expected, F.lit("")) != "") & ((filename == expected) | (filename == base) | filename.startswith(stem))
+
+
+def golden_answer(answer: Column, keywords: Column) -> Column:
+    """missing_keywords and keyword_hit_rate of an answer, as written; 1 without keywords."""
+    missing = F.filter(keywords, lambda k: ~F.contains(answer, k))
+    rate = F.when(F.size(keywords) > 0, (F.size(keywords) - F.size(missing)) / F.size(keywords)).otherwise(1.0)
+    return F.struct(missing.alias("missing_keywords"), F.round(rate, 2).alias("keyword_hit_rate"))
+
+
+def stats_view(daily: DataFrame) -> DataFrame:
+    """What the statistics page shows of ``daily_stats``."""
+    return daily.select("date", F.col("total").alias("total_queries"), (F.col("total") - F.col("errors")).alias("success_count"), F.col("errors").alias("error_count"), F.col("refusals").alias("refusal_count"), "refusal_rate", F.col("avg_seconds").alias("avg_response_time"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_agent, queries_derived, queries_eval, queries_index, queries_more, queries_search, queries_text  # noqa: F401  they register themselves
+from . import queries_agent, queries_answers, queries_derived, queries_eval, queries_index, queries_more, queries_search, queries_text  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "e10_metrics"

@@ -98,8 +98,3 @@ def response(spark, sf_dir):
     """The first ten pieces of evidence, as answers carry them."""
     hits = Q._hits(spark, sf_dir).join(chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "text"), "id")
     return hits.where("rank <= 10").select("query_id", "id", F.round("score", 4).alias("score"), F.substring("text", 1, 200).alias("preview"))
-
-
-@query("g14_refusals", "SELECT item_id, 'No support found for: ' || substr(text, 1, 40) AS answer FROM benchmark")
-def refusals(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("No support found for: "), F.substring("text", 1, 40)).alias("answer"))
