@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .storage import materialize
+from .vectors import SCORES, first_of_each
+
+#: Queries whose terms and weights are sent to all tasks at once.
+BLOCK = 2_000
 
 #: Each CJK character is a token; all else is split at Unicode white space, marks attached.
 MEMORY_TOKENS = "(?U)[一-鿿]|[^\\s一-鿿]+"
@@ -93,19 +103,84 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best(index, queries: DataFrame, k: int, params: Params = Params(), pattern: str = MEMORY_TOKENS) -> DataFrame:
+    """The k best chunks of each query, with ``rank``: (query_id, chunk_id, score to nine decimals, rank).
+
+    Queries are a stated set and go out in blocks of ``BLOCK``. A chunk's postings of the block's terms meet once, whatever the number of
+    queries that ask for a term; a task sums scores of chunks times queries in arrays and hands on k hits a query.
+    """
+    asked = queries.where("query_id is not null").select("query_id", F.explode(tokens(F.col("question"), pattern)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", T.StringType()), T.StructField("score", T.DoubleType())])
+    blocks = max(1, -(-queries.count() // BLOCK))
+    out = None
+    for i in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        held = index.asked(part.select("term").distinct())
+        rows = part.join(held.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")).collect()  # a block's queries and terms
+        hits = _block(held, rows, k, params, schema)
+        out = hits if out is None else out.unionByName(hits)
+    return top_k(out, k)
+
+
+def _block(held: Asked, rows: list, k: int, params: Params, schema: T.StructType) -> DataFrame:
+    names = sorted({r.query_id for r in rows})
+    terms = sorted({r.term for r in rows})
+    at = {q: i for i, q in enumerate(names)}, {t: i for i, t in enumerate(terms)}
+    place = np.array([at[1][r.term] for r in rows], np.int64)
+    order = np.argsort(place, kind="stable")
+    who, weight = np.array([at[0][r.query_id] for r in rows], np.int64)[order], np.array([r.weight for r in rows], float)[order]
+    first = np.searchsorted(place[order], np.arange(len(terms) + 1))
+    average = held.corpus.first().avgdl or 0.0  # one row
+    shared = held.postings.sparkSession.sparkContext.broadcast((np.array(names, dtype=object), terms, who, weight, first))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms, who, weight, first = shared.value
+        kind, known, n = to_arrow_schema(schema), pa.array(terms, pa.string()), len(names)
+        query, score, ids = np.empty(0, int), np.empty(0), np.empty(0, object)
+        least = np.full(n, -np.inf)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step := max(1, SCORES // max(1, n))):
+                part = batch.slice(lo, step)
+                lists, dl = part.column(2), np.asarray(part.column(1), dtype=float)
+                row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
+                of, tf = (c for c in lists.flatten().flatten())
+                of, tf = np.asarray(pc.index_in(of, value_set=known).fill_null(-1), dtype=np.int64), np.asarray(tf, dtype=float)
+                worth = tf * (params.k1 + 1) / (tf + params.k1 * (1 - params.b + params.b * dl[row] / (average or 1.0)))
+                times = np.where(of >= 0, first[of + 1] - first[of], 0)
+                each = np.repeat(np.arange(len(of)), times)
+                asked = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + first[of[each]]
+                cell = row[each] * n + who[asked]
+                found = np.round(np.bincount(cell, worth[each] * weight[asked], part.num_rows * n).reshape(-1, n), 9)
+                met = np.bincount(cell, minlength=part.num_rows * n).reshape(-1, n) > 0
+                found[~met] = -np.inf
+                if part.num_rows > k:
+                    least = np.maximum(least, np.partition(found, -k, axis=0)[-k])
+                j, q = np.nonzero((found >= least) & met)
+                those = np.array(part.column(0).to_pylist(), dtype=object)
+                query, score, ids = np.r_[query, q], np.r_[score, found[j, q]], np.r_[ids, those[j]]
+                if len(query):
+                    top = first_of_each(query, score, ids, k)
+                    query, score, ids = query[top], score[top], ids[top]
+        if len(query):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((names[query].tolist(), ids.tolist(), score), kind, strict=True)], schema=kind)
+
+    whole = held.postings.groupBy("chunk_id").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("terms"))  # a chunk's own terms
+    return whole.mapInArrow(run, schema)
+
+
 def search(index, queries: DataFrame, k: int, params: Params = Params(), keep_zero: DataFrame | None = None, pattern: str = MEMORY_TOKENS) -> DataFrame:
     """The k best chunks of each query. With ``keep_zero`` (the chunks) queries with fewer matches are filled with zero scores."""
-    best = top_k(score(index, queries, params, pattern), k)
+    found = best(index, queries, k, params, pattern)
     if keep_zero is None:
-        return best
+        return found
     # only the first k ids can fill a query up: k of them plus those that it has already
-    have = best.groupBy("query_id").agg(F.count("*").alias("have"))
+    have = found.groupBy("query_id").agg(F.count("*").alias("have"))
     short = queries.select("query_id").join(have, "query_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < k)
     first = keep_zero.select("chunk_id").orderBy("chunk_id").limit(2 * k)
-    filler = short.crossJoin(F.broadcast(first)).join(best.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    filler = short.crossJoin(F.broadcast(first)).join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy("chunk_id")
     filled = filler.withColumn("rank", F.row_number().over(order) + F.col("have")).where(F.col("rank") <= k).select("query_id", "chunk_id", F.lit(0.0).alias("score"), "rank")
-    return best.unionByName(filled)
+    return found.unionByName(filled)
 
 
 def upsert(index_rows: DataFrame, new: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
