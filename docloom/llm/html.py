@@ -63,6 +63,7 @@ class Block:
     container: str
     text: str
     linked: int
+    #: How many articles and mains it is in; the choice of content doesn't ask.
     home: int
 
 
@@ -72,7 +73,7 @@ def unwanted(name: str, attributes: dict[str, str], inside: bool) -> bool:
     if attributes:
         if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
             return True
-        if name in ("html", "body", "main", "article"):
+        if name in ("html", "body", "main") or name == "article" and not inside:
             return False
         for key in ("class", "id"):
             if key in attributes and not WORDS.isdisjoint(SPLIT_WORDS.split(attributes[key].lower())):
@@ -229,8 +230,6 @@ def ratios(found: list[Block], config: Config = Config()) -> dict[str, float]:
 
 
 def content(found: list[Block], config: Config = Config()) -> list[Block]:
-    if any(b.home for b in found):  # the page says where its article is
-        found = [b for b in found if b.home]
     fused = ratios(found, config)
     raw = [fused[b.path] for b in found]
     smooth = []

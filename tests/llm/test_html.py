@@ -36,3 +36,12 @@ def test_every_page_of_the_table_against_a_plain_reading(spark):
         body = re.sub(r"</?(?:b|br)>", " ", r.html.split("<article>", 1)[1].split("</article>")[0])
         parts = [" ".join(h.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:h1|p)>", body)]
         assert html.main_text(r.html) == "\n".join(x for x in parts if x)
+
+
+def test_comments_marked_as_articles_and_pages_without_one():
+    story = "".join(f"<p>Sentence one of part {i}, with commas, and more words. Another sentence, longer than the first, follows here.</p>" for i in range(6))
+    plain = html.main_text(f"<html><body><div class='story'>{story}</div><div><a href='/a'>Home</a> <a href='/b'>About</a></div></body></html>")
+    assert plain.count("Sentence one") == 6 and "Home" not in plain
+    comment = "<article class='comment'><p>I liked this, really, a lot. Thank you, all of you, for it.</p></article>"
+    got = html.main_text(f"<html><body><main><article>{story}</article>{comment}</main></body></html>")
+    assert got == plain and "liked" not in got
