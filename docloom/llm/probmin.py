@@ -1,14 +1,14 @@
 """Near duplicates by ProbMinHash over weighted word shingles.
 
-A text is the weighted set of its shingles of five words, with weights 1 + ln(count). Each shingle is a Poisson process of
+A text is the weighted set of its shingles of five words, with weights 2 count / (count + 1), which lie between 1 and 2. Each shingle is a Poisson process of
 its weight's rate whose arrivals fall on registers at random; a register keeps the earliest arrival's shingle. Arrivals later
 than every register's are never drawn (early termination). Two texts agree in a register with the probability Jaccard
 similarity of their weights (the probability is exact, ``probability_jaccard`` computes it), whatever their lengths. Registers are banded; texts of one bucket are compared with the bucket's
 pivots only, a few at first and more in each further round among those that no pivot has linked, so a bucket of any size
 costs its members times its distinct kinds; four bits of every register sieve the pairs within that join. What passes is
-verified exactly: Jaccard similarity of the shingle sets of at least the threshold. Pairs of that similarity whose repeat
-counts differ so much that the probability Jaccard similarity is well below it are lost to bands and sieve. Classes are the connected components;
-equal texts are one node from the start.
+verified exactly: Jaccard similarity of the shingle sets of at least the threshold. Repeat counts change a weight by a factor
+under two, so that the two similarities stay close however often a phrase is said, and the sieve leaves room for what they differ by
+(``Config.sieve``). Classes are the connected components; equal texts are one node from the start.
 
 Defined cases: null counts as empty text; texts without words are near nothing but equal texts; texts of one to four words
 are one shingle; repeated rows and ids are copies like any other; an empty table gives an empty result. Extra columns are ignored.
@@ -34,6 +34,8 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 class Config:
     width: int = WIDTH
     similarity: float = 0.8
+    #: Probability Jaccard similarity that the sieve lets pass but for one pair in 100,000: of pairs at the threshold whose repeat counts differ.
+    sieve: float = 0.7
     bands: int = 26
     rows: int = 5
 
@@ -96,7 +98,7 @@ LANES = 64 // LANE_BITS
 def sketches(texts: list, config: Config = Config()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """((n, bands) of bucket keys, (n, longs) of four bits a register, whether a text has shingles)."""
     h, counts, text = weighted(texts, config.width)
-    winners = signatures(h, damped(counts), text, len(texts), config.registers)
+    winners = signatures(h, saturated(counts), text, len(texts), config.registers)
     rows = winners.reshape(len(texts), config.bands, config.rows)
     keys = np.broadcast_to(np.arange(1, config.bands + 1, dtype=np.uint64), rows.shape[:2]).copy()
     for r in range(config.rows):
@@ -111,8 +113,8 @@ def sketches(texts: list, config: Config = Config()) -> tuple[np.ndarray, np.nda
 
 
 def alike(config: Config) -> Callable[[str, str], Column]:
-    """A condition on two sketches that texts of the (probability Jaccard) similarity fail with a probability under one in 100,000."""
-    p = config.similarity + (1 - config.similarity) / 16
+    """A condition on two sketches that texts of the probability Jaccard similarity ``sieve`` fail with a probability under one in 100,000."""
+    p = config.sieve + (1 - config.sieve) / 16
     least = config.registers * p - 4.4 * (config.registers * p * (1 - p)) ** 0.5
 
     def condition(m: str, q: str) -> Column:
@@ -127,9 +129,9 @@ def alike(config: Config) -> Callable[[str, str], Column]:
     return condition
 
 
-def damped(counts: np.ndarray) -> np.ndarray:
-    """Weights that a shingle repeated hundreds of times does not rule: 1 + ln(count)."""
-    return 1.0 + np.log(counts)
+def saturated(counts: np.ndarray) -> np.ndarray:
+    """Weights that a shingle repeated hundreds of times does not rule: 2 count / (count + 1), from 1 to under 2."""
+    return 2.0 * counts / (counts + 1.0)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -224,9 +226,12 @@ def links(rows: DataFrame, config: Config = Config()) -> DataFrame:
 
 def class_map(rows: DataFrame, config: Config = Config()) -> DataFrame:
     """(node, class_id, class_size, first_id, first_node): every distinct text's class; the class is named by its least id."""
-    labels = components(links(rows, config))
+    linked = links(rows, config)
+    labels = components(linked)
     own = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("node").alias("of"))).alias("first"), F.count("*").alias("n"))
     known = materialize(own.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label")), "known")
+    remove(labels)
+    remove(linked)
     classes = known.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
     return known.select("node", "label").join(classes, "label").select("node", F.col("first.doc_id").alias("class_id"), "class_size", F.col("first.of").alias("first_node"))
 
