@@ -1,11 +1,17 @@
-"""A corpus pipeline of five operators: each stage works on all that its predecessor kept, from Parquet to Parquet."""
+"""A corpus pipeline of five operators: each stage works on all that its predecessor kept, from Parquet to Parquet.
+
+Defined cases: a null text counts as empty in every stage (quality scores it, it is near nothing but empty texts, holds no benchmark item,
+has size 0 for the mix, and is the end id alone in the store); equal rows are one document after near-dedup, whatever their ids; a document
+that the mix takes more than once comes as often to the store; columns that documents have besides their own are carried as far as the mix;
+an empty table gives an empty result. Each stage's table is removed when the next one's is whole; the last one's is the result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import castore, decontam, mixing, probmin, quality
-from docloom.llm.common import label_bucket, shared_path, table
+from docloom.llm.common import label_bucket, remove, shared_path, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(last, spark)
+        last = path
     return docs
