@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,9 +84,9 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, step: Callable[...,
         kind = arrow_schema(out)
         first = (context(),) if context else ()
         for batch in batches:
-            cells = [column.to_pylist() for column in batch.columns]
-            for lo, hi in slices(cells[-1]):
-                rows = list(step(*first, *(cell[lo:hi] for cell in cells)))
+            for lo, hi in spans(volumes(batch.column(batch.num_columns - 1))):
+                # only a slice's cells are Python objects at any time
+                rows = list(step(*first, *(column.to_pylist() for column in batch.slice(lo, hi - lo).columns)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(column, type=field.type) for column, field in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
@@ -93,14 +94,27 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, step: Callable[...,
 
 
 def slices(texts: list, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    return spans([len(text or "") for text in texts], chars)
+
+
+def volumes(column: pa.Array) -> list[int]:
+    """Bytes of a string or binary column's cells, elements of others; 0 for null."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_binary(kind):
+        return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    return [len(cell or "") for cell in column.to_pylist()]
+
+
+def spans(lengths: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """(from, to) of stretches that end where their lengths, and 64 a cell, add up to ``most``."""
     lo = total = 0
-    for i, text in enumerate(texts):
-        total += len(text or "") + 64
-        if total >= chars:
+    for i, length in enumerate(lengths):
+        total += length + 64
+        if total >= most:
             yield lo, i + 1
             lo, total = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(lengths):
+        yield lo, len(lengths)
 
 
 def label_bucket(doc_id):
