@@ -38,3 +38,21 @@ def test_chunks_that_lie_whole_are_searched_without_a_shuffle_of_postings(spark,
     apart = bm25.Asked(plain.terms, plain.postings(spark.createDataFrame([(w,) for w in WORDS], "term string")), plain.corpus)
     assert rows(found) == rows(bm25.best(type("Apart", (), {"asked": lambda self, terms: apart})(), asked, 5)) and found.count() > 5
     assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, plain.terms.collect()))
+
+
+def test_mean_cosines_add_vectors_up_and_are_those_of_all_pairs(spark):
+    from docloom.operators import vectors as V
+
+    rows = [(i, i % 3 if i % 7 else None, [float((i * k) % 5 - 2) for k in range(1, 4)]) for i in range(30)] + [(4, 1, [1.0, 0.0, 0.0]), (50, 1, None)]
+    vectors = spark.createDataFrame(rows, "vec_id int, domain int, embedding array<double>")
+    asked = vectors.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("domain").alias("asked"))
+    found = V.mean_cosines(vectors, asked)
+    pairs = vectors.where("embedding is not null").join(asked.where("embedding is not null").select("query_id", F.col("embedding").alias("query")), F.col("vec_id") != F.col("query_id"))
+    plain = pairs.groupBy("query_id").agg(F.avg(V.cosine(F.col("embedding"), F.col("query"))).alias("mean"))
+    rounded = lambda df: sorted((r[0], round(r[1], 8) + 0.0) for r in df.collect())
+    assert rounded(found) == rounded(plain) and V.mean_cosines(vectors.limit(0), asked).count() == 0
+
+    near = V.search(vectors, asked, 3, same=("domain", "asked"))
+    met = V.scored(vectors.where("embedding is not null"), asked.where("embedding is not null")).where("domain = asked").withColumn("rank", F.row_number().over(V.order_by("query_id", "vec_id"))).where("rank <= 3")
+    kept = lambda df: sorted((r.query_id, r.vec_id, round(r.score, 9), r["rank"]) for r in df.where("query_id <> 4").collect())
+    assert kept(near) == kept(met.select("query_id", "vec_id", "score", "rank")) and "NestedLoop" not in near._jdf.queryExecution().toString()
