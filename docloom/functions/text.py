@@ -19,6 +19,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+#: Letters that have several in upper case, and the one that stands for them: the title form, or themselves.
+_SEVERAL = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(128, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and len(c.upper()) > 1}
+
+
+def upper(c: Column) -> Column:
+    """Upper case letter by letter, so that the length stays: ß is ẞ, and ligatures stay. For short texts."""
+    one = lambda x: F.when(F.length(F.upper(x)) > 1, F.translate(x, "".join(_SEVERAL), "".join(_SEVERAL.values()))).otherwise(F.upper(x))
+    return F.array_join(F.transform(F.split(c, ""), one), "")
+
+
 def lines_of(c: Column) -> Column:
     return F.split(c, "\n", -1)
 

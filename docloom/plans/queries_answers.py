@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import evaluation as E, prompts as P
 from . import queries_eval as Q
 from .queries_text import _Q, _questions
@@ -156,7 +157,7 @@ _WORDS = "[substr(text, 1, 4), upper(substr(text, 5, 4)), 'zzzz']"
 
 @query("e25_golden_answer", f"WITH k AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN [] ELSE {_WORDS} END AS w, text FROM documents), m AS (SELECT doc_id, w, list_filter(w, lambda x: NOT contains(text, x)) AS missing_keywords FROM k) SELECT doc_id, missing_keywords, round(CASE WHEN len(w) > 0 THEN (len(w) - len(missing_keywords)) / len(w) ELSE 1 END, 2) AS keyword_hit_rate FROM m")
 def golden_answer(spark, sf_dir):
-    words = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.substring("text", 1, 4), F.upper(F.substring("text", 5, 4)), F.lit("zzzz")))
+    words = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.substring("text", 1, 4), X.upper(F.substring("text", 5, 4)), F.lit("zzzz")))
     return table(spark, sf_dir, "documents").select("doc_id", E.golden_answer(F.col("text"), words).alias("a")).select("doc_id", "a.*")
 
 

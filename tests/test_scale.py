@@ -56,3 +56,13 @@ def test_mean_cosines_add_vectors_up_and_are_those_of_all_pairs(spark):
     met = V.scored(vectors.where("embedding is not null"), asked.where("embedding is not null")).where("domain = asked").withColumn("rank", F.row_number().over(V.order_by("query_id", "vec_id"))).where("rank <= 3")
     kept = lambda df: sorted((r.query_id, r.vec_id, round(r.score, 9), r["rank"]) for r in df.where("query_id <> 4").collect())
     assert kept(near) == kept(met.select("query_id", "vec_id", "score", "rank")) and "NestedLoop" not in near._jdf.queryExecution().toString()
+
+
+def test_upper_case_keeps_the_length_as_sql_does(spark):
+    import duckdb
+
+    from docloom.functions import text as X
+
+    texts = ["chß ", "ﬁx ŉ ǰ", "aé 𝔸z", "ᾳ ᾀ", "", None, "\x00\n ıñ"]
+    found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.upper(F.col("t"))).collect()]
+    assert found == [duckdb.execute("SELECT upper(?::VARCHAR)", [t]).fetchone()[0] for t in texts]
