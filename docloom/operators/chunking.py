@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Documents whose texts a fold holds at once.
+SLICE = 64
 HEADING = r"^(#{1,3})\s+(.+)"
 
 
@@ -69,10 +76,57 @@ def section_tree(docs: DataFrame) -> DataFrame:
 # folds -----------------------------------------------------------------------------------------
 
 
+_LETTERS = (string.ascii_lowercase + string.ascii_uppercase).encode()
+#: What white space and the end of a line are to the patterns above.
+_SPACE, _ENDS = " \t\n\x0b\f\r", "\x85\u2028\u2029"
+_HEAD = re.compile(rf"#{{1,3}}[{_SPACE}]+([^\n\r{_ENDS}]+)")
+
+
+def _stripped(line: str) -> str:
+    line = line.strip(_SPACE)
+    return line[:-1].rstrip(_SPACE) + line[-1] if line and line[-1] in _ENDS else line
+
+
+def section_nodes(text: str) -> list[tuple[int, int, str, str]]:
+    """(level, section, text, heading) of one text: what ``section_tree`` gives for it, in order."""
+    out: list[tuple[int, int, str, str]] = []
+    held: list[str] = []
+    section, title = 0, ""
+    for line in [*map(_stripped, text.split("\n")), ""]:
+        head = _HEAD.match(line) if line.startswith("#") else None
+        if line and not head:
+            held.append(line)
+            continue
+        if held:
+            out.append((2, section, "\n".join(held), title))
+            held.clear()
+        if head:
+            section, title = section + 1, _stripped(head[1])
+            out.append((1, section, title, title))
+    return out
+
+
+def paragraph_texts(text: str) -> list[str]:
+    """The texts of ``paragraphs`` of one text, in order."""
+    out: list[str] = []
+    held: list[str] = []
+    for line in [*map(_stripped, text.split("\n")), ""]:
+        if line and line[0] != "#":
+            held.append(line)
+            continue
+        if held:
+            out.append("\n".join(held))
+            held.clear()
+        if line:
+            out.append(line)
+    return out
+
+
 def mostly_english(text: str) -> bool:
     if not text.strip():
         return False
-    letters = len(re.findall("[a-zA-Z]", text))
+    raw = text.encode("utf-8", "surrogatepass")
+    letters = len(raw) - len(raw.translate(None, _LETTERS))
     if letters > 0.40 * len(text):
         return True
     return letters > 0.25 * len(text) and len(re.findall("[a-zA-Z]+", text)) > 2 * len(re.findall("[一-鿿]", text))
@@ -171,48 +225,69 @@ def _scaled(text: str, sizes: Sizes) -> Sizes:
     return Sizes(*(2 * n for n in (sizes.small_min, sizes.small_max, sizes.parent_min, sizes.parent_max)), sizes.most_smalls) if mostly_english(text) else sizes
 
 
-def _by_document(rows: DataFrame, schema: str, step: Callable[[pd.DataFrame], list[tuple]]) -> DataFrame:
-    """One fold a document: its nodes come together, and no more than a document is held."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def _by_document(docs: DataFrame, schema: str, step: Callable[[str, str], list[tuple]]) -> DataFrame:
+    """One fold a document, where it lies: its whole text is in its row, so nothing is shuffled and no more than ``SLICE`` documents are held."""
+    kind = T.StructType.fromDDL(schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(step(pdf.sort_values("nth")), columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(kind)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                rows = [r for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if text is not None for r in step(doc, text)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return rows.groupBy("doc").applyInPandas(run, schema)
+    return docs.select("doc", "text").mapInArrow(run, kind)
 
 
-def small_chunks(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
-    """(doc, chunk_id, parent_id, chunk_index, heading, summary, text) of the first ``most_smalls`` small chunks of each document."""
+def _small_rows(doc: str, nodes: list[tuple], own: Sizes) -> list[tuple]:
+    found = list(islice(smalls(nodes, own), own.most_smalls))
+    return [(doc, f"{doc}_small_{i}", f"{doc}_parent_{section}", i, heading, text[:80], text) for i, (text, heading, section) in enumerate(found, 1)]
+
+
+def _parent_rows(doc: str, nodes: list[tuple], own: Sizes) -> list[tuple]:
+    return [(doc, f"{doc}_parent_{section}" + (f"_{n}" if n > 1 else ""), i, heading, text) for i, (text, heading, section, n) in enumerate(parents(nodes, own), 1)]
+
 
-    def step(pdf: pd.DataFrame) -> list[tuple]:
-        doc, own = pdf["doc"].iloc[0], _scaled("\n".join(pdf["text"]), sizes)
-        nodes = list(zip(pdf["level"], pdf["section"], pdf["text"], pdf["heading"], strict=True))
-        found = list(smalls(nodes, own))[: own.most_smalls]
-        return [(doc, f"{doc}_small_{i}", f"{doc}_parent_{section}", i, heading, text[:80], text) for i, (text, heading, section) in enumerate(found, 1)]
+def _nodes(text: str, sizes: Sizes) -> tuple[list[tuple], Sizes]:
+    nodes = section_nodes(text)
+    return nodes, _scaled("\n".join(n[2] for n in nodes), sizes)
 
-    return _by_document(section_tree(docs), "doc string, chunk_id string, parent_id string, chunk_index int, heading string, summary string, text string", step)
+
+_SMALL = "doc string, chunk_id string, parent_id string, chunk_index int, heading string, summary string, text string"
+
+
+def small_chunks(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
+    """(doc, chunk_id, parent_id, chunk_index, heading, summary, text) of the first ``most_smalls`` small chunks of each document."""
+    return _by_document(docs, _SMALL, lambda doc, text: _small_rows(doc, *_nodes(text, sizes)))
 
 
 def parent_chunks(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """(doc, chunk_id, chunk_index, heading, text) of parent chunks; later segments of a section have a suffix."""
+    return _by_document(docs, "doc string, chunk_id string, chunk_index int, heading string, text string", lambda doc, text: _parent_rows(doc, *_nodes(text, sizes)))
+
+
+def linked_chunks(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
+    """``linked`` small and parent chunks, of documents whose names are distinct: both come from one fold, so they meet without a join."""
 
-    def step(pdf: pd.DataFrame) -> list[tuple]:
-        doc, own = pdf["doc"].iloc[0], _scaled("\n".join(pdf["text"]), sizes)
-        nodes = list(zip(pdf["level"], pdf["section"], pdf["text"], pdf["heading"], strict=True))
-        return [(doc, f"{doc}_parent_{section}" + (f"_{n}" if n > 1 else ""), i, heading, text) for i, (text, heading, section, n) in enumerate(parents(nodes, own), 1)]
+    def step(doc: str, text: str) -> list[tuple]:
+        nodes, own = _nodes(text, sizes)
+        held = {chunk: (text, text[:100], heading) for _, chunk, _, heading, text in _parent_rows(doc, nodes, own)}
+        return [(*row, *held.get(row[2], (None, None, None))) for row in _small_rows(doc, nodes, own)]
 
-    return _by_document(section_tree(docs), "doc string, chunk_id string, chunk_index int, heading string, text string", step)
+    return _by_document(docs, f"{_SMALL}, parent_content string, parent_summary string, section_title string", step)
 
 
 def split_documents(docs: DataFrame, least: int = 500, most: int = 800, overlap: int = 50) -> DataFrame:
     """(doc, chunk_id, chunk_index, summary, text): paragraphs packed greedily; one that is too small goes on past the limit."""
 
-    def step(pdf: pd.DataFrame) -> list[tuple]:
-        doc = pdf["doc"].iloc[0]
-        scale = 2 if mostly_english("\n".join(pdf["text"])) else 1
+    def step(doc: str, whole: str) -> list[tuple]:
+        texts = paragraph_texts(whole)
+        scale = 2 if mostly_english("\n".join(texts)) else 1
         low, high = least * scale, most * scale
         out, held = [], ""
-        for text in pdf["text"]:
+        for text in texts:
             if len(text) > high:
                 out += [held] if held else []
                 held = ""
@@ -225,7 +300,7 @@ def split_documents(docs: DataFrame, least: int = 500, most: int = 800, overlap:
         out += [held] if held else []
         return [(doc, f"{doc}_chunk_{i}", i, text[:50] + ("..." if len(text) > 50 else ""), text) for i, text in enumerate(out, 1)]
 
-    return _by_document(paragraphs(docs), "doc string, chunk_id string, chunk_index int, summary string, text string", step)
+    return _by_document(docs, "doc string, chunk_id string, chunk_index int, summary string, text string", step)
 
 
 def _texts(docs: DataFrame, split: Callable[[str], list[str]]) -> DataFrame:

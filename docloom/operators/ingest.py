@@ -27,6 +27,5 @@ def markdown(docs: DataFrame) -> DataFrame:
 def process(docs: DataFrame, sizes: chunking.Sizes = chunking.Sizes(), model=None) -> DataFrame:
     """Small chunks of (doc, text) that pass the gate, linked to their parents, with embeddings if there is a model."""
     gated = X.cleanup(docs.select("doc", "text")).where("cleanup.passed").select("doc", F.col("cleanup.text").alias("text"))
-    parents = chunking.parent_chunks(gated, sizes)
-    out = chunking.linked(chunking.small_chunks(gated, sizes), parents.select("chunk_id", "text", "heading"))
+    out = chunking.linked_chunks(gated, sizes)
     return out if model is None else out.withColumn("embedding", embed(F.col("text"), model, PASSAGE_PREFIX))

@@ -66,3 +66,25 @@ def test_upper_case_keeps_the_length_as_sql_does(spark):
     texts = ["chß ", "ﬁx ŉ ǰ", "aé 𝔸z", "ᾳ ᾀ", "", None, "\x00\n ıñ"]
     found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.upper(F.col("t"))).collect()]
     assert found == [duckdb.execute("SELECT upper(?::VARCHAR)", [t]).fetchone()[0] for t in texts]
+
+
+def test_folds_over_a_document_see_what_windows_over_lines_give(spark):
+    from docloom.operators import chunking
+
+    texts = ["# a\nb\n c \n\nd\n## \n##  e f \r\n#x\ny", "\n\n", "", "plain", "x\ny\n###t\n### t\x0b\n\x85\nz \x85\n#\r q\n# u v", "　# no\n#　no\n# 　\n####  four\na", "# only", "a\r\n\r\nb\x1c\nc"]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, None])], "doc string, text string")
+    tree = {}
+    for r in chunking.section_tree(docs).orderBy("nth").collect():
+        tree.setdefault(r.doc, []).append((r.level, r.section, r.text, r.heading))
+    runs = {}
+    for r in chunking.paragraphs(docs).orderBy("nth").collect():
+        runs.setdefault(r.doc, []).append(r.text)
+    for i, t in enumerate(texts):
+        assert chunking.section_nodes(t) == tree.get(str(i), []), t
+        assert chunking.paragraph_texts(t) == runs.get(str(i), []), t
+    sizes = chunking.Sizes(2, 6, 3, 25)
+    small, parent, both = chunking.small_chunks(docs, sizes), chunking.parent_chunks(docs, sizes), chunking.linked_chunks(docs, sizes)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(both) == rows(chunking.linked(small, parent.select("chunk_id", "text", "heading"))) and both.count() > 3
+    for df in (small, parent, both, chunking.split_documents(docs)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
