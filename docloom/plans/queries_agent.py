@@ -9,12 +9,12 @@ from ..operators import agent, bm25, caches, gates, retrieval
 from .queries_search import _HYBRID
 from .queries_text import _Q, _questions
 from .registry import query
-from .tables import VECTORS, chunks, documents, lexical, literal, literal_sql, questions, searched, split_columns, table, vectors
+from .tables import VECTORS, chunks, documents, lexical, literal, literal_sql, questions, searched, split_columns, table, vectors, with_chunks
 
 
 def _hits(spark, sf_dir):
     found = retrieval.hybrid(*searched(spark, sf_dir), 20, index=lexical(spark, sf_dir)).where("rank <= 8")
-    return found.join(chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "text", "filename"), "id")
+    return with_chunks(found, chunks(spark, sf_dir).select("chunk_id", "text", "filename"))
 
 
 _TOP = f"{_HYBRID}, h AS (SELECT query_id, id, fused.rank, vector_score, text, chunks.filename, EXISTS (SELECT 1 FROM l WHERE l.query_id = fused.query_id AND l.id = fused.id) AS lex FROM fused JOIN chunks ON chunk_id = id WHERE fused.rank <= 8)"
@@ -150,8 +150,8 @@ def _search(spark, sf_dir):
     index = lexical(spark, sf_dir)
 
     def search(asked):
-        found = bm25.search(index, asked, 10)
-        return found.join(source.select("chunk_id", "text"), "chunk_id").select("query_id", F.col("chunk_id").alias("id"), "rank", "score", "text", (F.col("score") / (F.col("score") + 20)).alias("vector_score"), F.lit("bm25").alias("sources"))
+        found = with_chunks(bm25.search(index, asked, 10).withColumnRenamed("chunk_id", "id"), source.select("chunk_id", "text"))
+        return found.select("query_id", "id", "rank", "score", "text", (F.col("score") / (F.col("score") + 20)).alias("vector_score"), F.lit("bm25").alias("sources"))
 
     return search
 

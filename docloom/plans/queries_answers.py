@@ -9,7 +9,7 @@ from ..operators import evaluation as E, prompts as P
 from . import queries_eval as Q
 from .queries_text import _Q, _questions
 from .registry import query
-from .tables import chunks, literal, questions, table
+from .tables import chunks, literal, questions, table, with_chunks
 
 
 
@@ -23,7 +23,7 @@ _TOP = f"{Q._HITS}, h AS (SELECT query_id, rank, filename, text FROM hits JOIN c
 
 def _hits(spark, sf_dir):
     """Hits with the section that a prompt shows: every other file has one."""
-    found = Q._hits(spark, sf_dir).join(chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "text", "doc_id"), "id")
+    found = with_chunks(Q._hits(spark, sf_dir), chunks(spark, sf_dir).select("chunk_id", "text", "doc_id"))
     return found.withColumn("section_title", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 10)).otherwise("")).withColumn("parent_content", F.lit(None).cast("string"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bm25, evaluation as E
 from .queries_index import BM25
 from .registry import query
-from .tables import chunks, lexical, literal, questions, split_columns, table
+from .tables import chunks, lexical, literal, questions, split_columns, table, with_chunks
 
 # Questions are benchmark items; an item quoted in some document is an exact match with those documents as gold.
 _GOLD = r"gold AS (SELECT item_id AS query_id, 'd' || doc_id AS filename FROM benchmark b, documents d WHERE contains(regexp_replace(d.text, '\s+', '', 'g'), regexp_replace(b.text, '\s+', '', 'g')))"
@@ -21,7 +21,7 @@ records AS (SELECT q.query_id, CASE WHEN q.query_id IN (SELECT query_id FROM gol
 def _hits(spark, sf_dir, k=10):
     source = chunks(spark, sf_dir)
     found = bm25.search(lexical(spark, sf_dir), questions(spark, sf_dir), k)
-    return found.join(source.select("chunk_id", "filename"), "chunk_id").withColumnRenamed("chunk_id", "id")
+    return with_chunks(found.withColumnRenamed("chunk_id", "id"), source.select("chunk_id", "filename"))
 
 
 def _gold(spark, sf_dir):

@@ -11,7 +11,7 @@ from . import queries_eval as Q
 from .queries_search import _HYBRID
 from .queries_text import _pages
 from .registry import query
-from .tables import chunks, documents, literal, literal_sql, table
+from .tables import chunks, documents, literal, literal_sql, table, with_chunks
 
 _GOLD = Q._GOLD
 
@@ -60,7 +60,7 @@ def ablation(spark, sf_dir):
     lex = bm25.search(lexical(spark, sf_dir), questions(spark, sf_dir), 20).withColumnRenamed("chunk_id", "id")
     named = lambda df, name: df.select(F.lit(name).alias("variant"), "query_id", "id", "rank")
     lists = named(vec, "vector").unionByName(named(lex, "bm25")).unionByName(named(fusion.rrf(vec, lex), "hybrid")).where(F.col("rank") <= 10)
-    files = lists.join(chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "filename"), "id")
+    files = with_chunks(lists, chunks(spark, sf_dir).select("chunk_id", "filename"))
     gold = Q._gold(spark, sf_dir).distinct()
     grid = gold.join(F.broadcast(literal(spark, "variant", "('vector'), ('bm25'), ('hybrid')")))
     first = grid.join(files, ["variant", "query_id", "filename"], "left").groupBy("variant", "query_id").agg(F.min("rank").alias("first"))

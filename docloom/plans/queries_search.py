@@ -12,7 +12,7 @@ from ..operators.score_store import ScoreStore
 from ..operators.storage import shared_path
 from .queries_index import BM25, STATS, scores
 from .registry import query
-from .tables import CHUNKS, QUESTIONS, VECTORS, chunks, lexical, literal, literal_sql, questions, searched, table, vectors
+from .tables import CHUNKS, QUESTIONS, VECTORS, chunks, lexical, literal, literal_sql, questions, searched, table, vectors, with_chunks
 
 #: The stated block of query vectors.
 BLOCK = "vec_id % 25 = 0"
@@ -98,7 +98,7 @@ _HITS = f"{BM25}, hits AS (SELECT query_id, chunk_id AS id, filename, rank FROM
 def _hits(spark, sf_dir, k=20):
     source = chunks(spark, sf_dir)
     found = bm25.search(lexical(spark, sf_dir), questions(spark, sf_dir), k)
-    return found.join(source.select("chunk_id", "filename", "text", "domain", "doc_id", "pos"), "chunk_id").withColumnRenamed("chunk_id", "id")
+    return with_chunks(found.withColumnRenamed("chunk_id", "id"), source.select("chunk_id", "filename", "text", "domain", "doc_id", "pos"))
 
 
 @query("r4_diversity", f"{_HITS} SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, filename ORDER BY rank) AS n FROM hits) WHERE n <= 2 OR filename = ''")

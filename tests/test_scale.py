@@ -88,3 +88,16 @@ def test_folds_over_a_document_see_what_windows_over_lines_give(spark):
     assert rows(both) == rows(chunking.linked(small, parent.select("chunk_id", "text", "heading"))) and both.count() > 3
     for df in (small, parent, both, chunking.split_documents(docs)):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_meet_their_chunks_without_a_shuffle_of_chunks(spark, lines, monkeypatch):
+    from docloom.plans import tables
+
+    hits = spark.createDataFrame([(1, "c3", 1), (1, "c4", 2), (2, "c3", 1), (2, "none", 2)], "query_id int, id string, rank int")
+    found = tables.with_chunks(hits, lines)
+    assert found.columns == ["id", "query_id", "rank", "text"] and "ResolvedHint (strategy=broadcast)" in found._jdf.queryExecution().analyzed().toString()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plain = rows(hits.join(lines.withColumnRenamed("chunk_id", "id"), "id"))
+    assert rows(found) == plain and len(plain) == 3
+    monkeypatch.setattr(tables, "MOST_HITS", 1)
+    assert rows(tables.with_chunks(hits, lines)) == plain
