@@ -101,3 +101,29 @@ def test_hits_meet_their_chunks_without_a_shuffle_of_chunks(spark, lines, monkey
     assert rows(found) == plain and len(plain) == 3
     monkeypatch.setattr(tables, "MOST_HITS", 1)
     assert rows(tables.with_chunks(hits, lines)) == plain
+
+
+def test_pages_of_a_batch_become_python_objects_a_slice_at_a_time(spark, monkeypatch):
+    from docloom.functions import pages as P
+
+    texts = ["A Title\nbody text here", None, "", "1. First\n\nSecond line."] * 40
+    assert [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1).sortWithinPartitions("i").select(P.headings(F.col("t"))).collect()] == [None if t is None else P.with_headings(t) for t in texts]
+    held = {}
+    monkeypatch.setattr(P.F, "arrow_udf", lambda kind: lambda run: held.setdefault("run", run) or run)
+
+    class Counted:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def __len__(self):
+            return len(self.rows)
+
+        def slice(self, lo, n):
+            return Counted(self.rows[lo : lo + n])
+
+        def to_pylist(self):
+            held["most"] = max(held.get("most", 0), len(self.rows))
+            return self.rows
+
+    P._column(P.with_headings)  # builds the function that takes a batch
+    assert held["run"](Counted(texts)).to_pylist() == [None if t is None else P.with_headings(t) for t in texts] and held["most"] <= P.SLICE
