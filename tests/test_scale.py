@@ -127,3 +127,13 @@ def test_pages_of_a_batch_become_python_objects_a_slice_at_a_time(spark, monkeyp
 
     P._column(P.with_headings)  # builds the function that takes a batch
     assert held["run"](Counted(texts)).to_pylist() == [None if t is None else P.with_headings(t) for t in texts] and held["most"] <= P.SLICE
+
+
+def test_postings_are_counted_without_a_shuffle(spark, lines, tmp_path):
+    from docloom.operators.lexical_store import LexicalStore
+
+    store = LexicalStore(spark, f"file://{tmp_path}/ix")
+    odd = lines.unionByName(spark.createDataFrame([("e", "")], "chunk_id string, text string")).withColumn("dl", F.size(bm25.tokens(F.col("text"))))
+    found = store._postings(odd)
+    plain = odd.select("chunk_id", "dl", F.explode(bm25.tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and "Aggregate" not in plan(found)
