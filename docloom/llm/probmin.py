@@ -38,6 +38,8 @@ class Config:
     sieve: float = 0.7
     bands: int = 26
     rows: int = 5
+    #: Texts of a bucket from which on it is asked first which shingles each has alone.
+    hot: int = 32
 
     @property
     def registers(self) -> int:
@@ -96,7 +98,7 @@ LANES = 64 // LANE_BITS
 
 
 def sketches(texts: list, config: Config = Config()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """((n, bands) of bucket keys, (n, longs) of four bits a register, whether a text has shingles)."""
+    """((n, bands) of bucket keys, (n, longs) of four bits a register, distinct shingles of each text)."""
     h, counts, text = weighted(texts, config.width)
     winners = signatures(h, saturated(counts), text, len(texts), config.registers)
     rows = winners.reshape(len(texts), config.bands, config.rows)
@@ -109,11 +111,12 @@ def sketches(texts: list, config: Config = Config()) -> tuple[np.ndarray, np.nda
     packed = np.zeros((len(texts), longs), np.uint64)
     for i in range(LANES):
         packed |= lanes[:, i::LANES] << np.uint64(LANE_BITS * i)
-    return keys.astype(np.int64), packed.astype(np.int64), np.bincount(text, minlength=len(texts)) > 0
+    return keys.astype(np.int64), packed.astype(np.int64), np.bincount(text, minlength=len(texts))
 
 
 def alike(config: Config) -> Callable[[str, str], Column]:
-    """A condition on two sketches that texts of the probability Jaccard similarity ``sieve`` fail with a probability under one in 100,000."""
+    """A condition on two sketches that texts of the probability Jaccard similarity ``sieve`` fail with a probability under one in 100,000,
+    and on what two texts can have in common at most, which no link fails."""
     p = config.sieve + (1 - config.sieve) / 16
     least = config.registers * p - 4.4 * (config.registers * p * (1 - p)) ** 0.5
 
@@ -124,11 +127,18 @@ def alike(config: Config) -> Callable[[str, str], Column]:
             x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
             x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
             differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-        return differ <= int(config.registers - least)
+        # shingles that a text alone of all texts in hot buckets has are no other such text's
+        both = F.least(*(F.col(f"{t}size") - F.when(F.col(f"{m}hot") & F.col(f"{q}hot"), F.col(f"{t}own")).otherwise(0) for t in (m, q)))
+        return (both >= common(F.col(f"{m}size") + F.col(f"{q}size"), config)) & (differ <= int(config.registers - least))
 
     return condition
 
 
+def common(sizes: Column, config: Config) -> Column:
+    """Shingles that two texts with so many together have in common at least if they are near."""
+    return F.lit(config.similarity / (1 + config.similarity)) * sizes - 1e-6
+
+
 def saturated(counts: np.ndarray) -> np.ndarray:
     """Weights that a shingle repeated hundreds of times does not rule: 2 count / (count + 1), from 1 to under 2."""
     return 2.0 * counts / (counts + 1.0)
@@ -167,7 +177,7 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def signed(rows: DataFrame, config: Config = Config()) -> DataFrame:
-    """(node, keys, k0, k1, ...) of every distinct text with shingles. A task does each of its distinct texts once."""
+    """(node, keys, size, k0, k1, ...) of every distinct text with shingles. A task does each of its distinct texts once."""
     longs = -(-config.registers // LANES)
 
     def step(seen, names, texts) -> Iterator[tuple]:
@@ -177,14 +187,28 @@ def signed(rows: DataFrame, config: Config = Config()) -> DataFrame:
                 seen.add(name)
                 fresh[name] = text
         if fresh:
-            keys, packed, has = sketches(list(fresh.values()), config)
-            for name, row, sketch, good in zip(fresh, keys.tolist(), packed.tolist(), has.tolist(), strict=True):
-                if good:
-                    yield name, row, *sketch
+            keys, packed, sizes = sketches(list(fresh.values()), config)
+            for name, row, sketch, size in zip(fresh, keys.tolist(), packed.tolist(), sizes.tolist(), strict=True):
+                if size:
+                    yield name, row, size, *sketch
 
     lanes = [f"k{i}" for i in range(longs)]
-    found = map_rows(rows, ["node", "text"], "node binary, keys array<bigint>, " + ", ".join(f"{k} long" for k in lanes), step, set)
-    return found.groupBy("node").agg(F.first("keys").alias("keys"), *(F.first(k).alias(k) for k in lanes))
+    found = map_rows(rows, ["node", "text"], "node binary, keys array<bigint>, size long, " + ", ".join(f"{k} long" for k in lanes), step, set)
+    return found.groupBy("node").agg(F.first("keys").alias("keys"), *(F.first(k).alias(k) for k in ("size", *lanes)))
+
+
+def unshared(texts: DataFrame, config: Config = Config()) -> DataFrame:
+    """(id, own): how many of its shingles each text (id, text) has alone; texts without any are absent."""
+
+    def step(ids, texts) -> Iterator[tuple]:
+        h, _, text = weighted(texts, config.width)
+        cells = np.split(h.astype(np.int64), np.searchsorted(text, np.arange(1, len(texts))))
+        return zip(ids, (c.tolist() for c in cells), strict=True)
+
+    each = map_rows(texts, ["id", "text"], "id long, shingles array<bigint>", step).select("id", F.explode("shingles").alias("h"))
+    # a text has a shingle once, so one that only one text has has one least and one greatest id
+    alone = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    return alone.groupBy("id").agg(F.count("*").alias("own"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, config: Config = Config()) -> DataFrame:
@@ -209,17 +233,20 @@ def links(rows: DataFrame, config: Config = Config()) -> DataFrame:
     spark = rows.sparkSession
     shared_dir(spark)
     signs = materialize(signed(rows, config), "signatures")
-    bands = signs.select(F.explode("keys").alias("bucket"), "node")
-    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = materialize(bands.join(sizes, "bucket"), "crowded")
+    bands = signs.select(F.explode("keys").alias("bucket"), "node", "size")
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("size").alias("least")).where("n > 1")
+    crowded = materialize(bands.drop("size").join(sizes, "bucket"), "crowded")
     # a text that meets many others is a likely centre, and comes first as a pivot
-    ranks = crowded.groupBy("node").agg(F.sum("n").alias("rank")).join(signs.drop("keys"), "node")
-    active = materialize(crowded.drop("n").join(ranks, "node"), "members")
+    ranks = materialize(crowded.groupBy("node").agg(F.sum("n").alias("rank"), (F.max("n") > config.hot).alias("hot")), "ranks")
     # one text a node: copies meet in the tasks that read them, before any exchange
-    wanted = active.select("node").distinct()
-    texts = materialize(rows.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi"), "texts")
+    texts = materialize(rows.groupBy("node").agg(F.first("text").alias("text")).join(ranks.select("node", "hot"), "node").withColumn("id", F.monotonically_increasing_id()), "texts")
+    own = texts.where("hot").select("id", "node").join(unshared(texts.where("hot"), config), "id").select("node", "own")
+    known = ranks.join(signs.drop("keys"), "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    # all texts of a hot bucket are hot: one that has too much alone to be near even the shortest of them leaves the bucket
+    able = (F.col("n") <= config.hot) | (F.col("size") - F.col("own") >= common(F.col("size") + F.col("least"), config))
+    active = materialize(crowded.join(known, "node").where(able).drop("n", "least"), "members")
     found = star_links(active, lambda pairs: verified(pairs, texts, config), alike(config))
-    for df in (signs, crowded, active, texts):
+    for df in (signs, crowded, ranks, active, texts):
         remove(df)
     return found if found is not None else spark.createDataFrame([], "a binary, b binary")
 

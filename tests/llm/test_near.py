@@ -45,6 +45,22 @@ def test_a_large_group_of_near_copies(make):
     assert found == brute(rows)
 
 
+def test_a_group_whose_texts_are_mostly_too_far_apart_costs_no_square(make, monkeypatch):
+    """Copies with up to 16 of 150 words changed each in its own way: most are near the original or nothing, and few pairs are worth comparing."""
+    base, met = prose(1, 150), []
+    rows = [(i, edited(base, i % 17, seed=i)) for i in range(300)]
+    verify = probmin.verified
+
+    def counted(pairs, *others):
+        met.append(pairs.count())
+        return verify(pairs, *others)
+
+    monkeypatch.setattr(probmin, "verified", counted)
+    found = sorted(((r.doc_id, r.class_id) for r in probmin.classes(make(rows)).collect()), key=str)
+    assert found == brute(rows)
+    assert sum(met) < 10 * len(rows), met  # of 44,850 pairs
+
+
 def test_bridged_clusters_and_drifting_chains(make):
     rows = []
     for g in range(8):
