@@ -184,10 +184,12 @@ def write_files(docs: DataFrame, folder: str) -> int:
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        n = 0
+        n, made = 0, set()
         for batch in batches:
             for relative, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system.create_dir(f"{root}/{relative}".rsplit("/", 1)[0], recursive=True)
+                if (parent := f"{root}/{relative}".rsplit("/", 1)[0]) not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with system.open_output_stream(f"{root}/{relative}") as out:
                     out.write(content)
                 n += 1

@@ -16,4 +16,17 @@ def read(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
 
 def ingest(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Takes up what is new and stops; a file that fails leaves its batch to be done again."""
-    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    conf = stream.sparkSession.conf
+    # files are small and many: a batch's are listed by a few tasks a core, not one a file, and read as many to a task as their bytes allow
+    wanted = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * stream.sparkSession.sparkContext.defaultParallelism),
+        "spark.sql.files.openCostInBytes": "32768",
+    }
+    was = {k: conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            conf.set(k, v)
+        stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in was.items():
+            conf.set(k, v)

@@ -101,3 +101,20 @@ def test_sketches_of_days_keep_their_rank_error(spark):
     assert abs(rank - 0.95) <= E.RANK_ERROR and found["a"].n == 30_000 and found["a"].max == values[-1] and abs(found["a"].avg - sum(values) / len(values)) < 1e-9
     assert (found["b"].n, found["b"].quantile) == (50, 5.0)
     assert max(len(r.sketch) for r in days.collect()) < 20_000
+
+
+def test_a_watched_folder_is_listed_by_few_tasks(spark, tmp_path):
+    """Not a task a file; the session's settings are as before."""
+    from docloom.streaming import watcher
+
+    (tmp_path / "in").mkdir()
+    for i in range(300):
+        (tmp_path / "in" / f"d{i}.txt").write_text(f"text {i}")
+    keys = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes")
+    was, known = [spark.conf.get(k) for k in keys], spark.sparkContext.statusTracker()
+    seen = {i for i in range(20_000) if known.getStageInfo(i)}
+    watcher.ingest(watcher.read(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
+    tasks = [x.numTasks for i in range(20_000) if i not in seen and (x := known.getStageInfo(i))]
+    assert tasks and max(tasks) < 100
+    assert [spark.conf.get(k) for k in keys] == was
+    assert spark.read.parquet(str(tmp_path / "out")).select("text").distinct().count() == 300
