@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -95,10 +96,21 @@ def signatures(h: np.ndarray, weight: np.ndarray, text: np.ndarray, n: int, regi
 
 LANE_BITS = 4
 LANES = 64 // LANE_BITS
+#: Longs of a text's parities.
+PARITIES = 8
+
+
+def parities(h: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """(n, PARITIES): each bit tells whether the distinct shingles that fall on it are odd in number. Only a shingle that one of two texts has alone can make
+    them differ in a bit, so they have as many such shingles at least as they differ in bits."""
+    bit = h >> np.uint64(64 - (PARITIES * 64 - 1).bit_length())
+    out = np.zeros(n * PARITIES, np.uint64)
+    np.bitwise_xor.at(out, text * PARITIES + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n, PARITIES)
 
 
 def sketches(texts: list, config: Config = Config()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """((n, bands) of bucket keys, (n, longs) of four bits a register, distinct shingles of each text)."""
+    """((n, bands) of bucket keys, (n, longs) of four bits a register and then of parities, distinct shingles of each text)."""
     h, counts, text = weighted(texts, config.width)
     winners = signatures(h, saturated(counts), text, len(texts), config.registers)
     rows = winners.reshape(len(texts), config.bands, config.rows)
@@ -111,12 +123,13 @@ def sketches(texts: list, config: Config = Config()) -> tuple[np.ndarray, np.nda
     packed = np.zeros((len(texts), longs), np.uint64)
     for i in range(LANES):
         packed |= lanes[:, i::LANES] << np.uint64(LANE_BITS * i)
+    packed = np.concatenate([packed, parities(h, text, len(texts))], axis=1)
     return keys.astype(np.int64), packed.astype(np.int64), np.bincount(text, minlength=len(texts))
 
 
 def alike(config: Config) -> Callable[[str, str], Column]:
     """A condition on two sketches that texts of the probability Jaccard similarity ``sieve`` fail with a probability under one in 100,000,
-    and on what two texts can have in common at most, which no link fails."""
+    and on what two texts can have in common at most and alone at least, which no link fails."""
     p = config.sieve + (1 - config.sieve) / 16
     least = config.registers * p - 4.4 * (config.registers * p * (1 - p)) ** 0.5
 
@@ -129,7 +142,9 @@ def alike(config: Config) -> Callable[[str, str], Column]:
             differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
         # shingles that a text alone of all texts in hot buckets has are no other such text's
         both = F.least(*(F.col(f"{t}size") - F.when(F.col(f"{m}hot") & F.col(f"{q}hot"), F.col(f"{t}own")).otherwise(0) for t in (m, q)))
-        return (both >= common(F.col(f"{m}size") + F.col(f"{q}size"), config)) & (differ <= int(config.registers - least))
+        sizes = F.col(f"{m}size") + F.col(f"{q}size")
+        alone = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{m}x{i}").bitwiseXOR(F.col(f"{q}x{i}"))) for i in range(PARITIES)))
+        return (both >= common(sizes, config)) & (alone <= sizes - 2 * common(sizes, config)) & (differ <= int(config.registers - least))
 
     return condition
 
@@ -177,7 +192,7 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def signed(rows: DataFrame, config: Config = Config()) -> DataFrame:
-    """(node, keys, size, k0, k1, ...) of every distinct text with shingles. A task does each of its distinct texts once."""
+    """(node, keys, size, k0, k1, ..., x0, x1, ...) of every distinct text with shingles. A task does each of its distinct texts once."""
     longs = -(-config.registers // LANES)
 
     def step(seen, names, texts) -> Iterator[tuple]:
@@ -192,7 +207,7 @@ def signed(rows: DataFrame, config: Config = Config()) -> DataFrame:
                 if size:
                     yield name, row, size, *sketch
 
-    lanes = [f"k{i}" for i in range(longs)]
+    lanes = [f"k{i}" for i in range(longs)] + [f"x{i}" for i in range(PARITIES)]
     found = map_rows(rows, ["node", "text"], "node binary, keys array<bigint>, size long, " + ", ".join(f"{k} long" for k in lanes), step, set)
     return found.groupBy("node").agg(F.first("keys").alias("keys"), *(F.first(k).alias(k) for k in ("size", *lanes)))
 

@@ -61,6 +61,53 @@ def test_a_group_whose_texts_are_mostly_too_far_apart_costs_no_square(make, monk
     assert sum(met) < 10 * len(rows), met  # of 44,850 pairs
 
 
+def test_a_group_of_which_no_two_are_near_is_not_verified_pair_by_pair(make, monkeypatch):
+    """Copies with 3 of 150 words changed each in its own way: each is near the original, which isn't there, and no two are near each other."""
+    base, met = prose(1, 150), []
+    rows = [(i, edited(base, 3, seed=i)) for i in range(200)]
+    verify = probmin.verified
+
+    def counted(pairs, *others):
+        met.append(pairs.count())
+        return verify(pairs, *others)
+
+    monkeypatch.setattr(probmin, "verified", counted)
+    found = sorted(((r.doc_id, r.class_id) for r in probmin.classes(make(rows)).collect()), key=str)
+    assert found == brute(rows)
+    assert sum(met) < 10 * len(rows), met  # of 19,900 pairs
+
+
+def test_parities_differ_in_no_more_bits_than_texts_have_shingles_alone():
+    texts = [t for g in range(30) for t in (prose(g, 40 + 30 * g), edited(prose(g, 40 + 30 * g), g, seed=g))]
+    h, _, text = probmin.weighted(texts)
+    x = probmin.parities(h, text, len(texts))
+    cells = [h[text == i] for i in range(len(texts))]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        alone, bits = len(np.setxor1d(cells[i], cells[j])), int(np.bitwise_count(x[i] ^ x[j]).sum())
+        assert bits <= alone and (alone - bits) % 2 == 0
+
+
+def test_components_of_nodes_with_the_same_centres_and_of_chains(spark, monkeypatch):
+    """Links that ten centres have with 400 nodes each are few after a round; a chain whose names are in no order is done in time."""
+    import random
+
+    stars = [(c, 1000 + n) for c in range(0, 100, 10) for n in range(400)]
+    names = random.Random(5).sample(range(10_000, 20_000), 300)
+    chain = list(zip(names, names[1:]))
+    keep, sizes = graph.materialize, []
+
+    def counted(df, label):
+        out = keep(df, label)
+        sizes.append(out.count() if label == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    labels = {r.node: r.label for r in graph.components(spark.createDataFrame([*stars, *chain, (7, 7)], "a int, b int")).collect()}
+    assert labels == {n: 0 for link in stars for n in link} | {n: min(names) for n in names}
+    assert sum(sizes) < 2 * len(stars + chain), sizes
+    assert graph.components(spark.createDataFrame([(7, 7)], "a int, b int")).count() == 0
+
+
 def test_bridged_clusters_and_drifting_chains(make):
     rows = []
     for g in range(8):
