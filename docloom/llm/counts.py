@@ -210,7 +210,7 @@ def count_edits(docs: DataFrame, edits, config: Config = Config(), key: str = "d
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
-    return map_rows(rows, [key, "text"], f"`{key}` {kind}, n_chars long, n_tokens long, edited_chars long, edited_tokens long, encoded_chars long", step, lambda: encoder(file))
+    return map_rows(rows, [key, "text"], f"`{key}` {kind}, n_chars long, n_tokens long, edited_chars long, edited_tokens long, encoded_chars long", step, lambda: encoder(file), encodes=True)
 
 
 def sample_edits(text: str) -> list[tuple[int, int, str]]:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows
+from .tokens import release
 
 #: Words and runs of marks, in UTF-8.
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]+")
@@ -162,6 +163,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, config: Config = Config(), key
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series(score_texts(list(texts), shared.value, bits))
 
     return docs.where(scored(F.col(text)) >= F.lit(threshold))

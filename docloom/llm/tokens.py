@@ -8,8 +8,11 @@ vocabulary, goes through the library as a whole.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -163,13 +166,24 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The process's encoder for a file; workers keep it from task to task."""
+    """The process's encoder for a file; workers keep it from task to task, until they take up other work (``release``)."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Lets the process's encoder go, with the words that it remembers, and returns the memory to the machine."""
+    if not _ENCODERS:
+        return
+    _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

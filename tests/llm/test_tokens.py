@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from words import prose
 
-from docloom.llm import castore, counts
+from docloom.llm import castore, counts, tokens
+from docloom.llm.common import map_rows
 from docloom.llm.tokens import encoder, vocabulary
 
 ODD = ["", "it's don't we'll 's", "a<|endoftext|>b", "É İ ß ΑΣ Σ", "x\x85y\xa0 a\x1cb", "ª, º. a.b, 3.14 $5!! .. x_. y", "Áb é", "wh!? ;: a; b: c! 'tis they're", "÷. ×, a÷. ", "\n\n a \t b\n", "WORLD. Hello, World.\nx."]
@@ -34,6 +35,15 @@ def test_other_vocabularies_go_through_the_library(codes):
     assert not other.by_word and other.encode(["a b", None])[0].tolist() == other.library.encode("a b", add_special_tokens=False).ids
 
 
+def test_workers_let_the_encoder_go_when_they_take_up_other_work(spark):
+    rows = spark.range(0, 8, 1, 8).selectExpr("id", "'some words' text")
+    used = map_rows(rows, ["id", "text"], "n long", lambda own, ids, texts: [(len(own.encode(texts)),)], lambda: encoder(vocabulary()), encodes=True)
+    assert used.count() == 8
+    # the same workers take these tasks up, and none of them holds an encoder
+    held = map_rows(rows, ["id", "text"], "n long", lambda ids, texts: [(len(tokens._ENCODERS),)])
+    assert [r.n for r in held.collect()] == [0] * 8
+
+
 # counts ----------------------------------------------------------------------------------------
 
 
