@@ -141,6 +141,27 @@ def test_star_links_connect_what_all_pairs_connect(spark):
     assert found == {n: label.index(label[n]) for n in range(60) if label.count(label[n]) > 1}
 
 
+def test_rounds_keep_no_tables_and_done_buckets_meet_no_more(spark, monkeypatch):
+    keep, drop, live, sizes = graph.materialize, graph.remove, {}, {}
+    at = lambda df: df.inputFiles()[0].rsplit("/", 1)[0]
+
+    def counted(df, label):
+        if label in ("met", "apart"):  # a round's own members, and nothing of the rounds before
+            assert sorted(x for x in live.values() if x in ("met", "active")) == ["active"] * (label == "apart" or "met" in sizes)
+        out = keep(df, label)
+        live[at(out)], sizes[label] = label, sizes.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    monkeypatch.setattr(graph, "remove", lambda df: (live.pop(at(df), None), drop(df)))
+    # bucket 0: a chain of near members that its pivot does not link whole; buckets 1 to 3: none are near one another
+    members = spark.createDataFrame([(b, 100 * b + n, n) for b in range(4) for n in range(8)], "bucket int, node int, rank int")
+    links = graph.star_links(members, lambda p: p.withColumn("near", F.expr("b < 8 and b = a + 1")), lambda m, q: F.lit(True), slots=1)
+    assert {r.node for r in graph.components(links).collect()} == set(range(8))
+    assert sizes["met"] > 8 and sizes["apart"] <= 8
+    assert not set(live.values()) - {"links", "labels"}  # the result, and what components() returned to this test
+
+
 def test_odd_rows(odd, make):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     found = sorted(((r.doc_id, r.class_id) for r in probmin.classes(odd).collect()), key=str)
