@@ -136,7 +136,9 @@ def mix(docs: DataFrame, config: Config = Config(), key: str = "doc_id", text: s
     params = goals.select(F.col("source").alias("s"), "source_size", "target", groups.alias("groups")).join(few(found.withColumnRenamed("source", "s2"), sources), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
     rated = sized.join(few(params, sources), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     cap = F.lit(config.cap * MICRO).cast("long")
-    exact = F.when(F.col("tilt").isNull(), cap).otherwise(F.least(cap, F.round(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(700.0))) * MICRO).cast("long")))
+    # the cap comes before whole numbers: a steep tilt's exp of a long document is far beyond a long
+    rate = F.least(F.lit(float(config.cap)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(700.0))))
+    exact = F.when(F.col("tilt").isNull(), cap).otherwise(F.round(rate * MICRO).cast("long"))
     dealt = rated.withColumn("units", F.when(F.col("size") > 0, exact).otherwise(F.lit(0).cast("long"))).withColumn("deal", F.pmod(F.xxhash64(F.col("id"), F.col("content"), F.lit(10)), F.col("groups")))
 
     group = Window.partitionBy("source", "deal")

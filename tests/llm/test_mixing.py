@@ -89,6 +89,21 @@ def test_rates_solve_the_dual(make):
             assert abs(r.rate - min(config.cap, math.exp(min(700, low * r.size / scale)))) < 1e-4
 
 
+def test_a_target_just_below_the_cap(make):
+    """Nearly all rates are the cap: the tilt is steep, and its exp of a long document is no long."""
+    rows = [(i, "w " * (20_000 if i == 0 else 2 + i % 300), "ab"[i % 2]) for i in range(600)]
+    size = [sum(len(t.split()) for _, t, s in rows if s == own) for own in "ab"]
+    # a's target is 1.98 times its size, b's the rest of the same total
+    share = 1.5
+    of_a = 1.98 * size[0]
+    found = mixing.mix(make(rows), mixing.Config(weights=(of_a, share * sum(size) - of_a), share=share)).collect()
+    own = [r for r in found if r.doc_id % 2 == 0]
+    assert abs(own[0].target - of_a) <= 1e-6 * of_a and all(0 <= r.taken <= 2 * r.size for r in found)
+    for odd in (0, 1):
+        own = [r for r in found if r.doc_id % 2 == odd]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target
+
+
 def test_the_mix_repeats_rows(make):
     docs = make([(i, prose(i, 30), "a" if i % 4 else None) for i in range(60)])
     rates = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
