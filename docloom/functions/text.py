@@ -37,6 +37,16 @@ def joined(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def with_stripped(lines: Column) -> Column:
+    """(line, bare): each line and what ``strip`` leaves of it, so that rules over a line strip it once."""
+    return F.transform(lines, lambda s: F.struct(s.alias("line"), strip(s).alias("bare")))
+
+
+def wordy(t: Column) -> Column:
+    """Characters of ``WORDY``: what goes with their runs, which makes no array of them as ``count_of`` does."""
+    return F.length(t) - F.length(F.regexp_replace(t, f"{WORDY}+", ""))
+
+
 def count_of(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
@@ -147,7 +157,10 @@ def collapsed_blanks(t: Column) -> Column:
 
 
 def is_footer(line: Column) -> Column:
-    s = strip(line)
+    return _footer(strip(line))
+
+
+def _footer(s: Column) -> Column:
     return (s.rlike(r"^\d+$") & (F.length(s) < 6)) | s.rlike(r"(?i)^DOI\s*[:\s]\s*10\.\S+") | s.rlike(r"^arXiv:\d{4}\.\d+") | s.rlike(r"^https?://\S+$") | s.rlike(r"^©\s*\d{4}")
 
 
@@ -159,26 +172,42 @@ NUMBERED = r"^(第[一二三四五六七八九十]+[章节]|（?\d+[、.．]|[
 
 
 def is_loose_heading(line: Column) -> Column:
-    s = strip(line)
+    return _loose_heading(strip(line))
+
+
+def _loose_heading(s: Column) -> Column:
     plain = (s != "") & ~s.startswith("#") & (F.length(s) <= 60) & ~s.rlike("[.。！？]$")
     numbered = s.rlike(NUMBERED) & ~s.rlike("[：:]") & (F.length(F.regexp_replace(s, NUMBERED, "")) <= 20)
     return plain & (numbered | s.rlike(r"^[A-Z][A-Z\s]{2,40}$") | s.rlike(r"^[ⅠⅡⅢⅣⅤ]+\."))
 
 
 def normalized_headings(t: Column) -> Column:
-    marked = joined(F.transform(lines_of(t), lambda s: F.when(is_loose_heading(s), F.concat(F.lit("## "), strip(s))).otherwise(s)))
-    return F.when(t.rlike(r"(?m)^#{1,3}\s+\S"), t).otherwise(marked)
+    return F.when(t.rlike(MARKED), t).otherwise(joined(_headed(with_stripped(lines_of(t)))["line"]))
+
+
+MARKED = r"(?m)^#{1,3}\s+\S"
+
+
+def _headed(lines: Column) -> Column:
+    """Loose headings among lines (line, bare) with their mark."""
+    mark = lambda x: F.concat(F.lit("## "), x["bare"])
+    return F.transform(lines, lambda x: F.when(_loose_heading(x["bare"]), F.struct(mark(x).alias("line"), mark(x).alias("bare"))).otherwise(x))
 
 
 def low_value_share(t: Column) -> Column:
     """Lines of digits and marks only, or under three characters, as a share of lines that aren't blank."""
-    lines = F.filter(F.transform(lines_of(t), strip), lambda s: s != "")
-    low = F.filter(lines, lambda s: (s.rlike(r"^[\d\s,./\-|\\()]+$") & (F.length(s) > 3)) | ((F.length(s) < 3) & ~s.rlike("^[#!]")))
-    return F.size(low) / F.greatest(F.size(lines), F.lit(1))
+    return _low_share(F.transform(lines_of(t), strip))
+
+
+def _low_share(bare: Column) -> Column:
+    low = lambda s: (s.rlike(r"^[\d\s,./\-|\\()]+$") & (F.length(s) > 3)) | ((F.length(s) < 3) & ~s.rlike("^[#!]"))
+    share = lambda lines: F.size(F.filter(lines, low)) / F.greatest(F.size(lines), F.lit(1))
+    # in an array of one, the lines are worked out once for both sizes
+    return F.transform(F.array(F.filter(bare, lambda s: s != "")), share)[0]
 
 
 def content_ratio(t: Column) -> Column:
-    return count_of(t, WORDY) / F.greatest(F.length(F.regexp_replace(t, r"\s", "")), F.lit(1))
+    return wordy(t) / F.greatest(F.length(F.regexp_replace(t, r"\s", "")), F.lit(1))
 
 
 def has_heading(t: Column) -> Column:
@@ -186,17 +215,22 @@ def has_heading(t: Column) -> Column:
 
 
 def cleanup(df: DataFrame, text: str = "text", min_score: float = 0.3) -> DataFrame:
-    """Adds ``cleanup``: the text after the five rules in order, their trace, and the gate's verdict with its figures."""
+    """Adds ``cleanup``: the text after the five rules in order, their trace, and the gate's verdict with its figures.
+
+    The struct comes out of a generator of one row: filters on it stay above, where the optimizer would else work out all rules anew for each of their uses.
+    """
     t = F.col(text)
     one = df.withColumn("__1", unicode_normalized(t)).withColumn("__2", collapsed_blanks(F.col("__1")))
-    lines = one.withColumn("__foot", F.transform(lines_of(F.col("__2")), lambda s: F.struct(s.alias("line"), is_footer(s).alias("foot"))))
-    kept = lines.withColumn("__kept", F.filter("__foot", lambda x: ~x["foot"])["line"]).withColumn("__3", joined(F.col("__kept")))
-    last = kept.withColumn("__4", normalized_headings(F.col("__3")))
-    figures = last.withColumn("__low", low_value_share(F.col("__4"))).withColumn("__wordy", count_of(F.col("__4"), WORDY)).withColumn("__solid", F.length(F.regexp_replace("__4", r"\s", "")))
+    lines = one.withColumn("__lines", with_stripped(lines_of(F.col("__2"))))
+    kept = lines.withColumn("__kept", F.filter("__lines", lambda x: ~_footer(x["bare"])))
+    # lines are split and stripped once: a heading's mark leaves the others as they are
+    headed = kept.withColumn("__headed", F.when(joined(F.col("__kept")["line"]).rlike(MARKED), F.col("__kept")).otherwise(_headed(F.col("__kept"))))
+    last = headed.withColumn("__4", joined(F.col("__headed")["line"]))
+    figures = last.withColumn("__low", _low_share(F.col("__headed")["bare"])).withColumn("__wordy", wordy(F.col("__4"))).withColumn("__solid", F.length(F.regexp_replace("__4", r"\s", "")))
     trace = [
         ("unicode_normalize", F.length(t) - F.length("__1") < F.length(t) * 0.1),
         ("collapse_blanks", F.lit(True)),
-        ("remove_footers", F.size("__foot") - F.size("__kept") < F.size("__kept")),
+        ("remove_footers", F.size("__lines") - F.size("__kept") < F.size("__kept")),
         ("normalize_headings", F.lit(True)),
         ("detect_low_value", F.col("__low") < 0.5),
     ]
@@ -213,7 +247,7 @@ def cleanup(df: DataFrame, text: str = "text", min_score: float = 0.3) -> DataFr
         F.round("__ratio", 3).alias("content_ratio"),
         F.round("__rate", 3).alias("rules_pass_rate"),
     )
-    return gated.select(*df.columns, out.alias("cleanup"))
+    return gated.select(*df.columns, F.explode(F.array(out)).alias("cleanup"))
 
 
 # questions -------------------------------------------------------------------------------------

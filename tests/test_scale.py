@@ -137,3 +137,17 @@ def test_postings_are_counted_without_a_shuffle(spark, lines, tmp_path):
     found = store._postings(odd)
     plain = odd.select("chunk_id", "dl", F.explode(bm25.tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and "Aggregate" not in plan(found)
+
+
+def test_cleanup_works_out_its_rules_once_below_a_filter(spark):
+    from docloom.functions import text as X
+    from docloom.operators import ingest
+
+    texts = ["12\nMETHODS AND DATA\n 一、背景 \nwords of a line here and more of them\n  \n\n\n3", "# Head\nAB CD EF\nbody words and words \x85", "12\n13", "", "\n", "1,2,3,4\nⅠ. x\nDOI: 10.1/x\nENOUGH WORDS \x85 \nplain words \u200bﬁ", None, "a \x85 \nIV. MODEL AND ALL\r\nab\nx" * 9]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc string, text string")
+    last = X.normalized_headings(X.without_footers(X.collapsed_blanks(X.unicode_normalized(F.col("text")))))
+    plain = rows.select("doc", last.alias("t")).select("doc", "t", F.round(X.content_ratio(F.col("t")), 3), (X.low_value_share(F.col("t")) < 0.5)).collect()
+    found = X.cleanup(rows).select("doc", "cleanup.text", "cleanup.content_ratio", F.element_at("cleanup.trace", 5)["passed"]).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, plain), key=str)
+    assert [r[0] for r in rows.where("text is not null").orderBy("doc").select(X.wordy(F.col("text"))).collect()] == [r[0] for r in rows.where("text is not null").orderBy("doc").select(X.count_of(F.col("text"), X.WORDY)).collect()]
+    assert ingest.process(rows)._jdf.queryExecution().optimizedPlan().toString().count("200B") == 1
