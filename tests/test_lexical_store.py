@@ -110,3 +110,18 @@ def test_a_writer_that_comes_second_is_told(spark, tmp_path):
     (tmp_path / "t/_snapshots/000000000009.json").write_text("{broken")  # a snapshot that can't be read: the one before counts
     (tmp_path / "t/_snapshots/.000000000009.json.crc").unlink(missing_ok=True)
     assert one.state()["version"] == 1
+
+
+def test_postings_are_written_where_they_are_made(spark, tmp_path, monkeypatch):
+    """No bucket of postings comes together in a task: neither an index nor a merge shuffles them."""
+    from docloom.sources.segments import Segments
+
+    put, plans = Segments.put, []
+    monkeypatch.setattr(Segments, "put", lambda self, segment, part, df, by=(): (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if part == "postings" else None) or put(self, segment, part, df, by))
+    store = LexicalStore(spark, f"file://{tmp_path}/ix", buckets=4)
+    for text in ("sun moon sun", "moon star"):
+        store.index(spark.createDataFrame([(f"c{i}", f"{text} w{i % 7}") for i in range(40)], "chunk_id string, text string"))
+    store.merge()
+    assert len(plans) == 3 and not any("Repartition" in p for p in plans)
+    found = store.asked(spark.createDataFrame([("moon",), ("sun",)], "term string"))
+    assert found.postings.count() == 40 and [r.df for r in found.terms.where("term = 'moon'").collect()] == [40]
