@@ -6,7 +6,6 @@ import re
 import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +27,6 @@ class Sizes:
     small_max: int = 800
     parent_min: int = 1500
     parent_max: int = 3500
-    most_smalls: int = 200
 
 
 def size_scale(size: Column, unit: int = 1 << 20) -> Column:
@@ -222,7 +220,7 @@ def parents(nodes: list[tuple], sizes: Sizes) -> Iterator[tuple]:
 
 
 def _scaled(text: str, sizes: Sizes) -> Sizes:
-    return Sizes(*(2 * n for n in (sizes.small_min, sizes.small_max, sizes.parent_min, sizes.parent_max)), sizes.most_smalls) if mostly_english(text) else sizes
+    return Sizes(*(2 * n for n in (sizes.small_min, sizes.small_max, sizes.parent_min, sizes.parent_max))) if mostly_english(text) else sizes
 
 
 def _by_document(docs: DataFrame, schema: str, step: Callable[[str, str], list[tuple]]) -> DataFrame:
@@ -242,8 +240,7 @@ def _by_document(docs: DataFrame, schema: str, step: Callable[[str, str], list[t
 
 
 def _small_rows(doc: str, nodes: list[tuple], own: Sizes) -> list[tuple]:
-    found = list(islice(smalls(nodes, own), own.most_smalls))
-    return [(doc, f"{doc}_small_{i}", f"{doc}_parent_{section}", i, heading, text[:80], text) for i, (text, heading, section) in enumerate(found, 1)]
+    return [(doc, f"{doc}_small_{i}", f"{doc}_parent_{section}", i, heading, text[:80], text) for i, (text, heading, section) in enumerate(smalls(nodes, own), 1)]
 
 
 def _parent_rows(doc: str, nodes: list[tuple], own: Sizes) -> list[tuple]:
@@ -259,7 +256,7 @@ _SMALL = "doc string, chunk_id string, parent_id string, chunk_index int, headin
 
 
 def small_chunks(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
-    """(doc, chunk_id, parent_id, chunk_index, heading, summary, text) of the first ``most_smalls`` small chunks of each document."""
+    """(doc, chunk_id, parent_id, chunk_index, heading, summary, text) of the small chunks of each document, all of them."""
     return _by_document(docs, _SMALL, lambda doc, text: _small_rows(doc, *_nodes(text, sizes)))
 
 

@@ -151,3 +151,15 @@ def test_cleanup_works_out_its_rules_once_below_a_filter(spark):
     assert sorted(map(tuple, found), key=str) == sorted(map(tuple, plain), key=str)
     assert [r[0] for r in rows.where("text is not null").orderBy("doc").select(X.wordy(F.col("text"))).collect()] == [r[0] for r in rows.where("text is not null").orderBy("doc").select(X.count_of(F.col("text"), X.WORDY)).collect()]
     assert ingest.process(rows)._jdf.queryExecution().optimizedPlan().toString().count("200B") == 1
+
+
+def test_all_small_chunks_of_a_long_document_stay(spark):
+    from docloom.operators import chunking, ingest
+
+    body = [f"Paragraph {i:04} of a long text with words enough." for i in range(700)]
+    docs = spark.createDataFrame([("d", "\n\n".join(body))], "doc string, text string")
+    sizes = chunking.Sizes(20, 60, 30, 250)
+    for found in (chunking.small_chunks(docs, sizes).collect(), ingest.process(docs, sizes).collect()):
+        found = sorted(found, key=lambda r: r.chunk_index)
+        assert [r.chunk_index for r in found] == list(range(1, len(found) + 1)) and len(found) > 200
+        assert "\n\n".join(r.text for r in found) == "\n\n".join(body)
