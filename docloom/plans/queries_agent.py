@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -202,18 +205,22 @@ def lru(spark, sf_dir):
 
 @query("w1_directory_watcher", "SELECT 'd' || doc_id || '.txt' AS filename, length(text) AS chars FROM documents WHERE text IS NOT NULL")
 def watched(spark, sf_dir):
-    """Documents arrive in a watched folder as files, in two lots; each is taken up once over three runs of the stream."""
+    """Documents arrive in watched folders as files, in two lots; each is taken up once over three runs of the streams."""
     from ..operators.storage import shared_path
     from ..sources.document_files import write_files
     from ..streaming import watcher
 
     base = shared_path(spark, "watch")
-    files = documents(spark, sf_dir).where("text is not null").select("doc_id", F.concat(F.lit("d"), F.col("doc_id"), F.lit(".txt")).alias("relative"), F.col("text").alias("content"))
+    folders = max(1, -(-documents(spark, sf_dir).count() // watcher.FOLDER))
+    files = documents(spark, sf_dir).where("text is not null").select("doc_id", F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(folders)), F.lit("/d"), F.col("doc_id"), F.lit(".txt")).alias("relative"), F.col("text").alias("content"))
     others = files.where("doc_id % 10 = 0").withColumn("relative", F.concat("relative", F.lit(".docx")))
-    for lot in (files.where("doc_id % 2 = 0").unionByName(others), files.where("doc_id % 2 = 1"), files.limit(0)):
+    for lot in (files.where("doc_id % 2 = 0").unionByName(others), files.where("doc_id % 2 <> 0"), files.limit(0)):
         write_files(lot, f"{base}/in")
-        watcher.ingest(watcher.read(spark, f"{base}/in", max_files=100_000), f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out").select("filename", F.length("text").alias("chars"))
+        for i in range(folders):
+            watcher.ingest(watcher.read(spark, f"{base}/in/{i}", max_files=100_000), f"{base}/out/{i}", f"{base}/state/{i}")
+            watcher.take_empty(spark, f"{base}/in/{i}", f"{base}/empty/{i}")
+    taken = reduce(DataFrame.unionByName, [spark.read.schema("filename string, text string").parquet(f"{base}/{part}/{i}") for part in ("out", "empty") for i in range(folders)])
+    return taken.select("filename", F.length("text").alias("chars"))
 
 
 # files: documents as text, one in fifty of them broken, one of a kind that isn't known, one a PDF without a reader

@@ -118,3 +118,16 @@ def test_a_watched_folder_is_listed_by_few_tasks(spark, tmp_path):
     assert tasks and max(tasks) < 100
     assert [spark.conf.get(k) for k in keys] == was
     assert spark.read.parquet(str(tmp_path / "out")).select("text").distinct().count() == 300
+
+
+def test_a_watched_folder_gives_empty_files_and_odd_ids_a_row(spark, tmp_path, monkeypatch):
+    """Over several folders, each file once: empty texts and negative ids too."""
+    from docloom.plans import catalog
+    from docloom.streaming import watcher
+
+    rows = [(i, "" if i % 3 == 0 else f"text {i}" if i % 7 else None) for i in range(-15, 25)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = sorted((f"d{i}.txt", len(t)) for i, t in rows if t is not None)
+    for most in (100, 15):
+        monkeypatch.setattr(watcher, "FOLDER", most, raising=False)
+        assert sorted(map(tuple, catalog.queries()["w1_directory_watcher"](spark, str(tmp_path)).collect())) == wanted
