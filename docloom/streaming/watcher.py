@@ -1,7 +1,6 @@
 """A watched folder as a stream: new files of known kinds, each processed exactly once.
 
-A stream's driver remembers each file of its folder (some 2.5 kB at most while it lists them), so many files are dealt over folders of bounded
-size, each a stream of its own. Spark's file sources see empty files and give no row for them; ``take_empty`` does.
+A stream's driver remembers each file of its folder, so many files are dealt over folders of bounded size, each a stream of its own. Spark's file sources see empty files and give no row for them; ``take_empty`` does.
 """
 
 from __future__ import annotations
